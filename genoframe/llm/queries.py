@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from .decontaminate import op8_decontamination
+from .language_id import op5_language_id
 from .mixing import OP2_SQL, op2_mixing
 from .quality_rules import OP1_SQL, op1_quality_rules
+from .simhash import op10_simhash
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules, "op2_mixing": op2_mixing}
+    return {
+        "op1_quality_rules": op1_quality_rules,
+        "op2_mixing": op2_mixing,
+        "op5_language_id": op5_language_id,
+        "op8_decontamination": op8_decontamination,
+        "op10_simhash": op10_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
