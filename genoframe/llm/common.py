@@ -148,12 +148,12 @@ def pack(*arrays: np.ndarray) -> bytes:
         head += [a.dtype.str.encode(), str(len(a)).encode()]
         parts.append(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"")
     raw = b"".join(parts)
-    return b"|".join(head) + b"|" + str(len(raw)).encode() + b"\n" + pa.compress(raw, "zstd", asbytes=True)
+    return b",".join(head) + b"," + str(len(raw)).encode() + b"\n" + pa.compress(raw, "zstd", asbytes=True)
 
 
 def unpack(value: bytes) -> list[np.ndarray]:
     cut = value.index(b"\n")
-    *head, size = value[:cut].split(b"|")
+    *head, size = value[:cut].split(b",")
     raw = pa.decompress(value[cut + 1 :], int(size), "zstd", asbytes=True) if int(size) else b""
     out, at = [], 0
     for k in range(0, len(head), 2):

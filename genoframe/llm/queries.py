@@ -7,12 +7,14 @@ from .language_id import op5_language_id
 from .mixing import OP2_SQL, op2_mixing
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .simhash import op10_simhash
+from .suffix_dedup import op3_suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_mixing": op2_mixing,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op5_language_id": op5_language_id,
         "op8_decontamination": op8_decontamination,
         "op10_simhash": op10_simhash,
