@@ -6,6 +6,7 @@ from .decontaminate import op8_decontamination
 from .language_id import op5_language_id
 from .language_model import op4_language_model
 from .mixing import OP2_SQL, op2_mixing
+from .passages import op9_passages
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .revisits import OP6_SQL, op6_revisits
 from .simhash import op10_simhash
@@ -23,6 +24,7 @@ def queries() -> dict:
         "op6_revisits": op6_revisits,
         "op7_toxicity": op7_toxicity,
         "op8_decontamination": op8_decontamination,
+        "op9_passages": op9_passages,
         "op10_simhash": op10_simhash,
     }
 

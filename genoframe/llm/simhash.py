@@ -99,7 +99,7 @@ def fingerprint(hashes: list[int]) -> int:
 def _fingerprints(batches):
     for batch in batches:
         fp = [fingerprint(shingle_hashes(t)) for t in batch.column("text").to_pylist()]
-        yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "fp": pa.array(np.array(fp, np.uint64).view(np.int64))})
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "rid": batch.column("rid"), "fp": pa.array(np.array(fp, np.uint64).view(np.int64))})
 
 
 def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,17 +227,29 @@ def components(links: DataFrame) -> DataFrame:
         last = now
 
 
-def clustered(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for each row."""
-    fps = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
+def rooted(docs: DataFrame) -> DataFrame:
+    """(doc_id, rid, fp, root) for each row: rid is a hash of the text, root names the component."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("rid"), "text")
+    fps = written(rows.mapInArrow(_fingerprints, "doc_id long, rid long, fp long"), "fingerprints")
     n = partitions(docs.sparkSession)
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    keys = nodes.select("fp").mapInArrow(_keys, "key int, fp long")
+    keys = fps.select("fp").distinct().mapInArrow(_keys, "key int, fp long")
     links = keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
-    roots = components(links)
-    nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    nodes = nodes.join(nodes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(nodes, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(components(links), fps["fp"] == F.col("node"), "left").select("doc_id", "rid", "fp", F.coalesce("root", "fp").alias("root"))
+
+
+def clustered(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) for each row."""
+    rows = rooted(docs)
+    return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stand for their components: the smallest doc_id, null last, and of its rows one."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "rid"))
+    kept = rooted(docs).groupBy("root").agg(first.alias("kept")).select(F.col("kept.id").alias("__id"), F.col("kept.rid").alias("__rid")).distinct()
+    rows = docs.withColumn("__r", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__r") == F.col("__rid")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__r"]).drop("__r")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
