@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from importlib import import_module
+
+from .catalog import ORACLES, QUERIES
+
+for _family in ("intervals", "tables", "sequences", "reads", "variants", "annotations", "expression", "biology"):
+    import_module(f"{__package__}.{_family}")
+
+__all__ = ["ORACLES", "QUERIES"]
