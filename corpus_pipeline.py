@@ -24,10 +24,15 @@ from genoframe.llm.suffix_dedup import deduplicated
 LEAST_SCORE = 0.1
 
 
+def held(docs: DataFrame) -> DataFrame:
+    """The whole rows in one column beside their texts, so no column's name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language: without letters, or of hardly any known n-gram."""
-    out = predicted(docs.withColumn("__text", F.col("text")), learned(docs))
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumnRenamed("__text", "text").select(*docs.columns)
+    out = predicted(held(docs).select("doc", "text"), learned(docs))
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,17 +42,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out of the texts; documents of which nothing else is left go."""
-    out = deduplicated(docs)
+    rest = [c for c in docs.columns if c != "text"]
+    out = deduplicated(docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("doc"), "doc_id", "text"))
     out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    made = {c: F.col("doc").getField(c) for c in rest} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        made["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[made[c].alias(c) for c in docs.columns])
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return verdicts(hits(docs, benchmark, keep=tuple(docs.columns))).where(~F.col("contaminated")).select(*docs.columns)
+    return verdicts(hits(held(docs), benchmark, keep=("doc",))).where(~F.col("contaminated")).select("doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
