@@ -45,9 +45,10 @@ _BY_DIGITS = [AMINO_ACIDS[(i // 100) * 16 + (i // 10 % 10) * 4 + i % 10] if all(
 
 def amino_acids(dna: Column) -> Column:
     """Amino acids of the codons of dna from its start, X for what is no codon."""
-    codons = F.regexp_extract_all(F.translate(dna, "TCAG", "0123"), F.lit("(.{3})"), F.lit(1))
+    digits = F.translate(F.regexp_replace(dna, "[^TCAG]", "9"), "TCAG", "0123")
+    codons = F.regexp_extract_all(digits, F.lit("(.{3})"), F.lit(1))
     table = F.array(*[F.lit(a) for a in _BY_DIGITS])
-    return F.transform(codons, lambda c: F.coalesce(F.get(table, c.try_cast("int")), F.lit("X")))
+    return F.transform(codons, lambda c: F.coalesce(F.get(table, c.cast("int")), F.lit("X")))
 
 
 def translate_frame(seq: Column, frame: int, stop_at_first: bool = False, trim_terminal_stop: bool = False) -> Column:
