@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import CHUNK, mixed, remainder
@@ -106,9 +106,9 @@ def train(labelled: DataFrame, share: float = SHARE, relative: float = RELATIVE)
     """The filter from (lang, text) rows: names, table, and what false positives add per language."""
     counts = labelled.select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("total", F.sum("n").over(_by("lang")))
-    counts = counts.withColumn("p", F.col("n") / F.col("total")).where(F.col("p") >= share)
-    counts = counts.withColumn("top", F.max("p").over(_by("gram"))).where(F.col("p") >= relative * F.col("top"))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))  # a row for each language
+    counts = counts.join(totals, "lang").withColumn("p", F.col("n") / F.col("total")).where(F.col("p") >= share)
+    counts = counts.withColumn("top", F.max("p").over(Window.partitionBy("gram"))).where(F.col("p") >= relative * F.col("top"))
     rows = counts.select("lang", "gram").toPandas()  # at most 1 / share for each language
     names = sorted(rows["lang"].unique())
     table = np.zeros((ROWS, max(1, -(-len(names) // 64))), np.uint64)
@@ -119,12 +119,6 @@ def train(labelled: DataFrame, share: float = SHARE, relative: float = RELATIVE)
     return {"names": names, "table": table, "false": np.array(false)}
 
 
-def _by(column):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column)
-
-
 def _rows_of(g: np.ndarray):
     h = mixed(g.astype(np.uint64) + np.uint64(0x51ED270B))
     return [((h >> np.uint64(20 * j)) & np.uint64(ROWS - 1)).astype(np.int64) for j in range(HASHES)]
