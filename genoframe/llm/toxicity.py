@@ -2,12 +2,13 @@
 
 A text's terms are its words (A-Z lowered, runs of letters and non-ASCII bytes) and
 their first five and seven bytes, each present or not, hashed to `DIMENSIONS` slots.
-Counts of every slot over all labelled training rows choose the `TERMS` slots that go
-with the label most; the machine has a weight and a vector for each, so that pairs of
-terms (an insult and a group) weigh more or less than their sum.
+Counts of every slot over the training rows choose the `TERMS` slots that go with the
+label most; the machine has a weight and a vector for each, so that pairs of terms (an
+insult and a group) weigh more or less than their sum.
 
-Weights are fitted on at most `SAMPLE` labelled training rows, those with the smallest
-hash of their id; that bound is the parameter `sample`. The slot counts are of all rows.
+The machine is fitted on at most `SAMPLE` labelled training rows, those with the smallest
+hash of their id; that bound is the parameter `sample`. Their ids and labels alone are
+sent to all executors, so no text is shuffled.
 
 Defined results: null, empty and wordless texts get the score of no terms; rows without
 a label are not learned from; labels other than 0 and 1 and null labels are not either;
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import prefix_hashes, remainder, span_hashes, text_chunks
 
 DIMENSIONS, TERMS, FACTORS, SAMPLE = 1 << 20, 4096, 8, 50_000
+#: Standard deviations by which a term must go with the label, and texts it must be in.
+STRENGTH, TEXTS = 3, 5
 PREFIXES = (5, 7)
 INK = np.zeros(256, bool)
 INK[65:91] = INK[97:123] = True
@@ -123,8 +126,14 @@ def fit(rows: list, terms: int, factors: int = FACTORS, steps: int = 300, rate:
     return p
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> dict:
-    """The model from (doc_id, text, label) rows."""
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(text, label) of the `sample` label rows with the least hash of their id: few enough to be sent to all executors."""
+    few = labels.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "label")
+
+
+def train(labelled: DataFrame) -> dict:
+    """The model from (text, label) rows, of which there are no more than a sample."""
     counts = labelled.select("text", "label").mapInArrow(_slot_counts, "slot long, n long, toxic long")
     counts = counts.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toPandas()  # at most DIMENSIONS rows
     whole = counts[counts["slot"] < 0]
@@ -132,12 +141,11 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> dict:
     if not len(whole) or not 0 < whole["toxic"].iloc[0] < whole["n"].iloc[0]:
         return {"slots": slot_to_term, "b": np.zeros(1), "w": np.zeros(1), "v": np.zeros((1, FACTORS))}
     share = whole["toxic"].iloc[0] / whole["n"].iloc[0]
-    own = counts[(counts["slot"] >= 0) & (counts["n"] >= 5)]
+    own = counts[(counts["slot"] >= 0) & (counts["n"] >= TEXTS)]
     z = ((own["toxic"] - share * own["n"]) / np.sqrt(share * (1 - share) * own["n"])).abs()
-    own = own.assign(z=z)[z > 3].sort_values(["z", "slot"], ascending=[False, True]).head(TERMS)
+    own = own.assign(z=z)[z > STRENGTH].sort_values(["z", "slot"], ascending=[False, True]).head(TERMS)
     slot_to_term[own["slot"].to_numpy()] = np.arange(len(own))
-    few = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("text", "label")
-    rows = few.mapInArrow(lambda b: _terms_of(b, slot_to_term), "label int, terms array<int>").toPandas()  # at most `sample` rows
+    rows = labelled.mapInArrow(lambda b: _terms_of(b, slot_to_term), "label int, terms array<int>").toPandas()  # at most `sample` rows
     model = fit(list(zip(rows["label"], rows["terms"])), max(1, len(own)))
     return model | {"slots": slot_to_term}
 
@@ -171,5 +179,5 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label")).where("label in (0, 1)")
     held_out = remainder(F.col("doc_id"), 5) == 0
-    labelled = docs.join(labels.where(~held_out), "doc_id")
-    return scored(docs.withColumn("held_out", held_out).select("doc_id", "held_out", "text"), train(labelled))
+    model = train(sampled(docs, labels.where(~held_out)))
+    return scored(docs.withColumn("held_out", held_out).select("doc_id", "held_out", "text"), model)
