@@ -53,6 +53,25 @@ def sequences(atoms: DataFrame) -> DataFrame:
     return rows.select("chain", F.array_join(F.transform("r", lambda r: r["c"]), "").alias("seq"))
 
 
+def _between(a: str, b: str) -> list:
+    return [F.col(f"{b}.{c}") - F.col(f"{a}.{c}") for c in "xyz"]
+
+
+def _dot(u: list, v: list):
+    return sum((p * q for p, q in zip(u, v)), F.lit(0.0))
+
+
+def distance_of(a: str, b: str):
+    """Distance of two columns of places."""
+    return F.sqrt(_dot(_between(a, b), _between(a, b)))
+
+
+def angle_of(a: str, b: str, c: str):
+    """Angle at b in degrees."""
+    u, v = _between(b, a), _between(b, c)
+    return F.degrees(F.acos(_dot(u, v) / F.sqrt(_dot(u, u)) / F.sqrt(_dot(v, v))))
+
+
 def geometry(points: list[tuple]) -> float:
     """Distance of two points, angle of three or torsion of four, in degrees."""
     p = [np.array(x, float) for x in points]

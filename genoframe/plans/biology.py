@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import translate_frame
@@ -236,3 +237,22 @@ def km_curve(spark, d):
 @query("km_median", _KM + """, z AS (SELECT g, count(*) AS n, count(*) FILTER (ev) AS events FROM c GROUP BY 1), h AS (SELECT g, min(t) AS m FROM k WHERE s <= 0.5 + 1e-12 GROUP BY 1) SELECT z.g AS "group", n, events, m AS median FROM z LEFT JOIN h ON z.g = h.g""")
 def km_median(spark, d):
     return survival.medians(_cohort(spark, d))
+
+
+@query("structure_geometry", sql("atoms", """WITH p AS (SELECT chain, residue, x, y, z, row_number() OVER (PARTITION BY chain ORDER BY residue) AS k FROM atoms),
+q AS (SELECT a.chain, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS u, sqrt((c.x - b.x) ** 2 + (c.y - b.y) ** 2 + (c.z - b.z) ** 2) AS v, (a.x - b.x) * (c.x - b.x) + (a.y - b.y) * (c.y - b.y) + (a.z - b.z) * (c.z - b.z) AS dot
+  FROM p a JOIN p b ON a.chain = b.chain AND a.k = 1 AND b.k = 2 JOIN p c ON c.chain = a.chain AND c.k = 3)
+SELECT chain, round(u, 6) AS distance, round(degrees(acos(dot / u / v)), 4) AS angle FROM q"""))
+def geometry(spark, d):
+    """Distance and angle of the first three residues of each chain."""
+    k = F.row_number().over(Window.partitionBy("chain").orderBy("residue"))
+    place = lambda n: F.max(F.when(F.col("k") == n, F.struct("x", "y", "z"))).alias(f"p{n}")
+    first = atoms(spark, d).withColumn("k", k).where("k <= 3").groupBy("chain").agg(*[place(n) for n in (1, 2, 3)]).where("p3 IS NOT NULL")
+    return first.select("chain", F.round(structures.distance_of("p1", "p2"), 6).alias("distance"), F.round(structures.angle_of("p1", "p2", "p3"), 4).alias("angle"))
+
+
+@query("structure_sequences", """SELECT p_brand AS chain, string_agg(CASE p_size % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'G' WHEN 2 THEN 'W' ELSE 'X' END, '' ORDER BY p_partkey) AS seq FROM part GROUP BY 1""")
+def structure_sequences(spark, d):
+    p = table(spark, d, "part")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("ALA", "GLY", "TRP", "ZZZ")]), F.col("p_size") % 4 + 1)
+    return structures.sequences(p.select(F.col("p_brand").alias("chain"), F.col("p_partkey").cast("string").alias("resseq"), F.lit("").alias("icode"), name.alias("resname"), F.col("p_partkey").alias("ord")))

@@ -72,3 +72,8 @@ SELECT feature, CASE WHEN padj <= 0.05 AND abs(lfc) >= 1 AND lfc > 0 THEN 'up' W
 def volcano(spark, d):
     p = table(spark, d, "part")
     return op.volcano(p.select(F.col("p_partkey").alias("feature"), (F.col("p_size") - 25.0).alias("lfc"), (F.round("p_retailprice").cast("long") % 100 / F.lit(100.0)).alias("padj")), "feature")
+
+
+@query("expr_adjacency", sql("matrix", """SELECT x.feature AS a, y.feature AS b, round(abs(corr(x.value, y.value)) ** 6, 6) AS weight FROM matrix x JOIN matrix y ON x.sample = y.sample AND x.feature < y.feature GROUP BY 1, 2"""))
+def adjacency(spark, d):
+    return _rounded(op.adjacency(matrix(spark, d)), "weight")
