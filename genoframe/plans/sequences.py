@@ -8,9 +8,6 @@ from ..operators import sequences as op
 from .catalog import query
 from .views import alignment, seqs, sql
 
-_LEN = "length(seq) - length(translate(seq, '{0}', ''))"
-
-
 def _n(letters):
     return f"(length(seq) - length(regexp_replace(seq, '[{letters}]', '', 'g')))"
 
