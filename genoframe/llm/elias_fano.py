@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-POP8 = np.array([bin(b).count("1") for b in range(256)], np.uint8)
-#: Place of the r-th set bit of each byte.
-SELECT8 = np.array([[([j for j in range(8) if b >> j & 1] + [0] * 8)[r] for r in range(8)] for b in range(256)], np.uint8)
 _ROWS = 1 << 15
 
 
@@ -43,13 +40,16 @@ class Monotone:
         self.buckets = len(self.high) * 64 - self.n
 
     def _inside(self, words: np.ndarray, r: np.ndarray) -> np.ndarray:
-        """Place of the r-th set bit of each word."""
-        b = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
-        cum = np.cumsum(POP8[b], axis=1, dtype=np.int64)
-        j = (cum <= r[:, None]).sum(1)
-        at = np.arange(len(words))
-        before = np.where(j > 0, cum[at, np.maximum(j - 1, 0)], 0)
-        return j * 8 + SELECT8[b[at, j], r - before]
+        """Place of the r-th set bit of each word, by halves."""
+        place, r = np.zeros(len(words), np.int64), r.copy()
+        for half in (32, 16, 8, 4, 2, 1):
+            lower = words & np.uint64((1 << half) - 1)
+            n = np.bitwise_count(lower)
+            above = r >= n
+            r -= np.where(above, n, 0)
+            place += np.where(above, half, 0)
+            words = np.where(above, words >> np.uint64(half), lower)
+        return place
 
     def _select(self, ranks: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
         w = np.searchsorted(ranks, k, "right") - 1
@@ -82,8 +82,17 @@ class Monotone:
         h = (x >> np.uint64(self.bits)).astype(np.int64)
         h = np.minimum(h, self.buckets - 1)
         beyond = (x >> np.uint64(self.bits)) >= np.uint64(self.buckets)
-        lo = np.where(h > 0, self._select(self.zeros, np.maximum(h - 1, 0), True) - np.maximum(h - 1, 0), 0)
-        stop = np.minimum(self._select(self.zeros, h, True) - h, self.n)
+        # the ones between the zeros h - 1 and h are the values with this high part
+        at = np.where(h > 0, self._select(self.zeros, np.maximum(h - 1, 0), True) + 1, 0)
+        lo = at - h
+        w, off = np.minimum(at >> 6, len(self.high) - 1), (at & 63).astype(np.uint64)
+        rest = ~(self.high[w] >> off)
+        ones = np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        stop = lo + ones
+        over = np.flatnonzero(ones >= 64 - off.astype(np.int64))  # the run goes on in the next word
+        if len(over):
+            stop[over] = self._select(self.zeros, h[over], True) - h[over]
+        stop = np.minimum(stop, self.n)
         lo = np.minimum(lo, stop)
         hi = stop.copy()
         want = x & np.uint64((1 << self.bits) - 1)

@@ -141,19 +141,28 @@ class Trie:
         for b, own in self._by_file(bucket):
             f = self.file(level, b)
             c = contexts[own] - below[b]
-            lo, hi = f["pointers"].access(c).astype(np.int64), f["pointers"].access(c + 1).astype(np.int64)
-            some = np.flatnonzero(lo < hi)
-            if not len(some):
+            # the range of each distinct context once
+            new = np.concatenate(([True], c[1:] != c[:-1]))
+            each = c[new]
+            ends = f["pointers"].access(np.concatenate([each, each + 1])).astype(np.int64)
+            lo, hi = ends[: len(each)], ends[len(each) :]
+            full = np.flatnonzero(lo < hi)
+            if not len(full):
                 continue
-            lo, hi = lo[some], hi[some]
-            first = np.where(lo > 0, f["keys"].access(np.maximum(lo - 1, 0)), np.uint64(0))
-            at, ok = f["keys"].successor(first + words_[own][some].astype(np.uint64) + (lo > 0).astype(np.uint64))
-            # a value equal to the last of the range before is not in this range
-            ok &= (at >= lo) & (at < hi)
-            where = np.arange(n)[own][some]
-            rest[where] = f["rest_book"][f["rest"][c[some]]]
-            node[where[ok]] = at[ok] + self.bases[level][b]
-            p[where[ok]] = f["p_book"][f["p"][at[ok]]]
+            base, weight = np.zeros(len(each), np.uint64), np.zeros(len(each))
+            inner = full[lo[full] > 0]
+            base[inner] = f["keys"].access(lo[inner] - 1) + np.uint64(1)
+            weight[full] = f["rest_book"][f["rest"][each[full]]]
+            which = np.cumsum(new) - 1
+            rest[own] = weight[which]
+            some = np.flatnonzero((lo < hi)[which])
+            which = which[some]
+            at, ok = f["keys"].successor(base[which] + words_[own][some].astype(np.uint64))
+            # a value beyond the last of this range is in the next one
+            ok &= at < hi[which]
+            where = some[ok] + own.start
+            node[where] = at[ok] + self.bases[level][b]
+            p[where] = f["p_book"][f["p"][at[ok]]]
         return node, p, rest
 
 
