@@ -63,6 +63,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of input (as files hold them) for each bucket of keys that one task merges.
+BUCKET_INPUT = 256 << 20
+
+
+def buckets_for(df: DataFrame) -> int:
+    """How many buckets keys from df are dealt to: the shuffle partitions, or more if the input is large.
+
+    The size is the plan's own estimate from its files; where it has none, the partitions count.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = partitions(df.sparkSession)
+    return max(least, -(-size // BUCKET_INPUT)) if size < 1 << 58 else least
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts, and the offsets of each; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Counts, bucket_of, mixed, pack, partitions, prefix_hashes, remainder, shared_dir, span_hashes, summed, text_chunks, unpack, words
+from .common import PACKED, Counts, bucket_of, buckets_for, mixed, pack, prefix_hashes, remainder, shared_dir, span_hashes, summed, text_chunks, unpack, words
 from .elias_fano import Monotone, encode
 from .shared_files import arrays_of, exists, put_arrays
 
@@ -287,7 +287,7 @@ def _children_of(f: dict) -> np.ndarray:
 def train(texts: DataFrame, order: int = ORDER) -> Trie:
     """The trie of a table with a text column."""
     spark = texts.sparkSession
-    buckets = partitions(spark)
+    buckets = buckets_for(texts)
     uri = shared_dir(spark, "trie")
 
     def put_bucket(key, table):

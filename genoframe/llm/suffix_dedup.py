@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, PACKED, Counts, bucket_of, mixed, pack, partitions, powers, prefix_hashes, shared_dir, text_bytes, unpack, written
+from .common import CHUNK, PACKED, Counts, bucket_of, buckets_for, mixed, pack, powers, prefix_hashes, shared_dir, text_bytes, unpack, written
 from .induced_sorting import IN_MEMORY, sorted_suffixes
 from .shared_files import member, put
 
@@ -272,7 +272,7 @@ def _sort_shard(length: int, limit: int):
 def covered(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES, limit: int = IN_MEMORY) -> DataFrame:
     """(doc, rid, spans): for documents that lose bytes, the sorted [start, stop) pieces of what they lose."""
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    buckets = buckets_for(docs)
     texts = keyed(docs).select("doc", "rid", "text")
     uri = shared_dir(spark, "seeds") + "/keys"
     counted = texts.select("text").mapInArrow(lambda b: _count_seeds(b, buckets, length, seed), PACKED)
