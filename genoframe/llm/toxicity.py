@@ -1,7 +1,7 @@
 """Toxicity with a factorization machine over hashed terms.
 
 A text's terms are its words (A-Z lowered, runs of letters and non-ASCII bytes) and
-their first five and seven bytes, each present or not, hashed to `DIMENSIONS` slots.
+their first five, six and seven bytes, each present or not, hashed to `DIMENSIONS` slots.
 Counts of every slot over the training rows choose the `TERMS` slots that go with the
 label most; the machine has a weight and a vector for each, so that pairs of terms (an
 insult and a group) weigh more or less than their sum.
@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import prefix_hashes, remainder, span_hashes, text_chunks
 
-DIMENSIONS, TERMS, FACTORS, SAMPLE = 1 << 20, 4096, 8, 50_000
+DIMENSIONS, TERMS, FACTORS, SAMPLE = 1 << 20, 2048, 8, 20_000
 #: Standard deviations by which a term must go with the label, and texts it must be in.
-STRENGTH, TEXTS = 3, 5
-PREFIXES = (5, 7)
+STRENGTH, TEXTS = 5, 5
+PREFIXES = (5, 6, 7)
 INK = np.zeros(256, bool)
 INK[65:91] = INK[97:123] = True
 INK[128:] = True
@@ -89,7 +89,7 @@ def _terms_of(batches, slot_to_term):
         yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.int32()), pa.array(out, pa.list_(pa.int32()))], ["label", "terms"])
 
 
-def fit(rows: list, terms: int, factors: int = FACTORS, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> dict:
+def fit(rows: list, terms: int, factors: int = FACTORS, steps: int = 200, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> dict:
     """Logistic loss on (label, terms) rows, all of them in each step, by Adam."""
     y = np.array([r[0] for r in rows], float)
     sizes = np.array([len(r[1]) for r in rows])
