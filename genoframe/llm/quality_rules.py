@@ -105,7 +105,8 @@ def line_fails(line: Column, max_symbol_ratio: float = 0.1, max_mark_ratio: floa
 def measured(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_lost: float = 0.5, max_symbol_ratio: float = 0.1) -> DataFrame:
     """One row per document: the counts of its words and lines, what cleaning leaves, and the verdict.
 
-    Lines are looked at one by one only where the whole text has what some rule looks for.
+    Lines are looked at one by one only where the whole text has what some rule looks for:
+    two separators are two symbols at least.
     """
     base = df.select(F.col(id_column).alias("__id"), F.coalesce(F.col(text_column), F.lit("")).alias("__t"))
     base = base.select("__id", "__t", word_array(F.col("__t")).alias("__w"), F.split("__t", "\n").alias("__l"))
@@ -118,7 +119,7 @@ def measured(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         F.filter(F.col("__l"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__f"),
         repeated_words(w).alias("n_repeat_words"),
     ).withColumn("__d", F.array_distinct("__f"))
-    suspect = (F.col("n_symbols") > 2) | text.contains("!!") | text.contains("??") | _boilerplate(text)
+    suspect = (F.col("n_symbols") >= 2) | text.contains("!!") | text.contains("??") | _boilerplate(text)
     base = base.withColumn("__k", F.when(suspect, F.filter(F.col("__d"), lambda x: ~line_fails(x, max_symbol_ratio))).otherwise(F.col("__d")))
     count = F.aggregate(F.col("__k"), F.lit(0).cast("long"), lambda a, x: a + F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
