@@ -6,8 +6,9 @@ into the automaton between blanks, and each normalised text runs through it once
 Matches are mapped back to words, and to code points of the original.
 
 The automaton is built once per executor process from windows of at most `max_bytes`;
-a larger benchmark is cut into blocks of that size by item, each with its automaton,
-and their results are united, so nothing unbounded is broadcast.
+a larger benchmark is cut into blocks of that size by window, each with its automaton,
+and their results are united by the number of the row, so nothing unbounded is broadcast
+and the size of the benchmark does not change results.
 
 Defined results: a null or wordless text has no words, no hits, no items; an item
 without words has no window; null item ids count as the text ''; items with equal
@@ -19,13 +20,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER
+from .common import LOWER, written
 
 WINDOW = 13
 #: At most this many bytes of windows in one automaton.
@@ -120,36 +122,63 @@ def _blocks(benchmark: DataFrame, window: int, max_bytes: int) -> list[list]:
         yield [(r.window, r.item) for r in pairs.where(F.pmod(F.xxhash64("window"), F.lit(2 * n)) == k).collect()]
 
 
+def _found(rows: DataFrame, block: list, keep: tuple) -> DataFrame:
+    """keep's columns and what one automaton finds, for each row."""
+    held = rows.sparkSession.sparkContext.broadcast(block)
+    kept = [f"`{n}` {t}" for n, t in rows.select(*keep).dtypes]
+    schema = ", ".join([*kept, "n_words long, runs array<struct<first:int,last:int>>, spans array<struct<start:int,stop:int>>, items array<string>"])
+
+    def run(batches):
+        machine = Automaton(held.value)
+        for batch in batches:
+            counts, runs, spans, items = [], [], [], []
+            for t in batch.column("__text").to_pylist():
+                n, hit, own = scanned(machine, t)
+                edge = np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))
+                counts.append(n)
+                runs.append([{"first": int(a), "last": int(b) - 1} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))])
+                spans.append([{"start": a, "stop": b} for a, b in original_spans(t, hit)] if len(hit) else [])
+                items.append(sorted(own))
+            pair = lambda a, b: pa.list_(pa.struct([(a, pa.int32()), (b, pa.int32())]))
+            more = [pa.array(counts, pa.int64()), pa.array(runs, pair("first", "last")), pa.array(spans, pair("start", "stop")), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *more], [*batch.schema.names[: len(keep)], "n_words", "runs", "spans", "items"])
+
+    return rows.select(*keep, "__text").mapInArrow(run, schema)
+
+
+def _merged(runs: Column) -> Column:
+    """Sorted runs, each with its span; those that overlap or touch become one."""
+
+    def add(out: Column, x: Column) -> Column:
+        last = F.element_at(out, -1)
+        wider = F.when(x["last"] > last["last"], x["stop"]).otherwise(last["stop"])
+        both = F.struct(last["first"].alias("first"), F.greatest(last["last"], x["last"]).alias("last"), last["start"].alias("start"), wider.alias("stop"))
+        joins = (F.size(out) > 0) & (x["first"] <= F.get(out, F.size(out) - 1)["last"] + 1)
+        return F.when(joins, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(F.array_sort(runs), F.filter(runs, lambda x: F.lit(False)), add)
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_bytes: int = MAX_BYTES, keep: tuple = ("doc_id",)) -> DataFrame:
     """keep's columns with n_words, the hit runs of words, their code points in the original, and the items."""
-    context = docs.sparkSession.sparkContext
-    kept = [f"`{n}` {t}" for n, t in docs.select(*keep).dtypes]
-    schema = ", ".join([*kept, "n_words long, runs array<struct<first:int,last:int>>, spans array<struct<start:int,stop:int>>, items array<string>"])
-    out = None
-    for block in _blocks(benchmark, window, max_bytes):
-        held = context.broadcast(block)
-
-        def run(batches, held=held):
-            machine = Automaton(held.value)
-            for batch in batches:
-                counts, runs, spans, items = [], [], [], []
-                for t in batch.column("__text").to_pylist():
-                    n, hit, own = scanned(machine, t)
-                    edge = np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))
-                    counts.append(n)
-                    runs.append([{"first": int(a), "last": int(b) - 1} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))])
-                    spans.append([{"start": a, "stop": b} for a, b in original_spans(t, hit)] if len(hit) else [])
-                    items.append(sorted(own))
-                pair = lambda a, b: pa.list_(pa.struct([(a, pa.int32()), (b, pa.int32())]))
-                more = [pa.array(counts, pa.int64()), pa.array(runs, pair("first", "last")), pa.array(spans, pair("start", "stop")), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *more], [*batch.schema.names[: len(keep)], "n_words", "runs", "spans", "items"])
-
-        part = docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
-        if out is None:
-            out = part
-        else:  # what another block of the benchmark finds in the same rows
-            out = out.unionByName(part).groupBy(*keep, "n_words").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return out
+    rows = docs.select(*keep, F.col("text").alias("__text"))
+    blocks = _blocks(benchmark, window, max_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _found(rows, first, keep)
+    # the rows are numbered once, in a table, so that what the blocks find in a row meets again in it alone
+    rows = written(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    out = _found(rows, first, (*keep, "__row")).select("__row", F.struct(*keep).alias("__kept"), "n_words", "runs", "spans", "items")
+    for block in chain([second], blocks):
+        more = _found(rows, block, ("__row",)).where(F.size("items") > 0)
+        out = out.unionByName(more.select("__row", F.lit(None).cast(out.schema["__kept"].dataType).alias("__kept"), "n_words", "runs", "spans", "items"))
+    placed = F.zip_with("runs", "spans", lambda r, s: F.struct(r["first"].alias("first"), r["last"].alias("last"), s["start"].alias("start"), s["stop"].alias("stop")))
+    out = out.groupBy("__row").agg(
+        F.first("__kept", True).alias("__kept"), F.first("n_words").alias("n_words"),
+        F.flatten(F.collect_list(placed)).alias("placed"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+    ).withColumn("placed", _merged(F.col("placed")))
+    part = lambda *names: F.transform("placed", lambda x: F.struct(*[x[n].alias(n) for n in names]))
+    return out.select("__kept.*", "n_words", part("first", "last").alias("runs"), part("start", "stop").alias("spans"), "items")
 
 
 def verdicts(found: DataFrame) -> DataFrame:
