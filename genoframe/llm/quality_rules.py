@@ -1,8 +1,10 @@
 """Line-first cleaning with Spark SQL expressions only.
 
-Rules judge each line (too many symbols or doubled marks, navigation separators,
-known boilerplate, a line seen before in the text), failing lines go, and a
-document that loses too many of its words is rejected.
+Rules judge each line on its own: punctuation (it must end as a sentence, a heading or a
+quotation does, not in dots that cut it off; not too many symbols or doubled marks),
+navigation (fewer than three words, or entries between separators), boilerplate (known
+phrases, some of them only in short lines), and whether it stood before in the text.
+Failing lines go, and a document that loses too many of its words is rejected.
 
 Defined results: a null text has no words and is not kept; an empty or blank text
 likewise; rows are independent of each other, so repeated rows get equal results;
@@ -19,8 +21,18 @@ from pyspark.sql import functions as F
 SYMBOLS = "#*$%&|<>"
 #: Phrases that mark a line as boilerplate, looked for in the lower-cased line.
 BOILERPLATE = ("licensed under", "all rights reserved", "copyright (c)", "terms of use", "terms of service", "privacy policy", "cookie policy", "subscribe to", "click here")
+#: Phrases of page furniture, which sentences may have too: they count in lines of up to SHORT_WORDS words.
+FURNITURE = ("read more", "sign in", "sign up", "log in", "share this", "follow us", "powered by", "skip to", "add to cart", "enable javascript", "use cookies", "back to top")
+SHORT_WORDS = 12
 #: What stands between the entries of a navigation line.
-SEPARATOR = " | "
+SEPARATORS = (" | ", " • ", " · ", " » ", " > ")
+#: The characters that a line may end with, and those that are skipped at its end.
+TERMINAL = ".!?:;\"'”’»)]。！？"
+TRAILING = " \t\x0b\x0c\r"
+#: Words a line must have.
+LEAST_WORDS = 3
+WHITE = r"[\x20\x09-\x0D]"
+INK = r"[^\x20\x09-\x0D]"
 #: A text with more words than this goes the way that needs no packed positions.
 PACKED_WORDS = 1 << 24
 
@@ -83,30 +95,48 @@ def _times(text: Column, part: str) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)
 
 
-def _boilerplate(text: Column) -> Column:
-    lowered = F.lower(text)
+def _any(text: Column, parts: tuple) -> Column:
     out = F.lit(False)
-    for phrase in BOILERPLATE:
-        out = out | lowered.contains(phrase)
+    for part in parts:
+        out = out | text.contains(part)
     return out
 
 
-def line_fails(line: Column, max_symbol_ratio: float = 0.1, max_mark_ratio: float = 0.1) -> Column:
-    """Whether a line breaks a rule: symbols, doubled marks, separators of navigation, boilerplate."""
+def _more_words(line: Column, n: int) -> Column:
+    """Whether a line has n words or more."""
+    return line.rlike(INK + (f"+{WHITE}+{INK}" * (n - 1)))
+
+
+def line_ends_badly(line: Column) -> Column:
+    """Whether a line does not end as a sentence, a heading or a quotation does, or has too few words."""
+    bare = F.rtrim(line, F.lit(TRAILING))
+    return ~F.contains(F.lit(TERMINAL), F.right(bare, F.lit(1))) | bare.endswith("...") | ~_more_words(line, LEAST_WORDS)
+
+
+def line_marked(line: Column, max_symbol_ratio: float = 0.1, max_mark_ratio: float = 0.1) -> Column:
+    """Whether a line breaks a rule of symbols, doubled marks, separators of navigation or boilerplate."""
     symbols = F.regexp_count(line, F.lit(f"[{SYMBOLS}]"))
+    bars = sum((_times(line, x) for x in SEPARATORS), F.lit(0.0))
+    lowered = F.lower(line)
     return (
         (symbols > F.greatest(F.lit(2), max_symbol_ratio * F.length(line)))
-        | (_times(line, SEPARATOR) >= 2)
+        | (bars >= 2)
         | (2 * (_times(line, "!!") + _times(line, "??")) > F.greatest(F.lit(2), max_mark_ratio * F.length(line)))
-        | _boilerplate(line)
+        | _any(lowered, BOILERPLATE)
+        | (_any(lowered, FURNITURE) & ~_more_words(line, SHORT_WORDS + 1))
     )
 
 
+def suspect(text: Column, n_symbols: Column) -> Column:
+    """Whether a text has what line_marked() looks for: without it, no line of it is marked."""
+    lowered = F.lower(text)
+    return (n_symbols >= 2) | _any(text, ("!!", "??", *SEPARATORS[1:4])) | _any(lowered, BOILERPLATE + FURNITURE)
+
+
 def measured(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_lost: float = 0.5, max_symbol_ratio: float = 0.1) -> DataFrame:
     """One row per document: the counts of its words and lines, what cleaning leaves, and the verdict.
 
-    Lines are looked at one by one only where the whole text has what some rule looks for:
-    two separators are two symbols at least.
+    The rules of line_marked() are evaluated only where the whole text is suspect().
     """
     base = df.select(F.col(id_column).alias("__id"), F.coalesce(F.col(text_column), F.lit("")).alias("__t"))
     base = base.select("__id", "__t", word_array(F.col("__t")).alias("__w"), F.split("__t", "\n").alias("__l"))
@@ -119,8 +149,9 @@ def measured(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         F.filter(F.col("__l"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__f"),
         repeated_words(w).alias("n_repeat_words"),
     ).withColumn("__d", F.array_distinct("__f"))
-    suspect = (F.col("n_symbols") >= 2) | text.contains("!!") | text.contains("??") | _boilerplate(text)
-    base = base.withColumn("__k", F.when(suspect, F.filter(F.col("__d"), lambda x: ~line_fails(x, max_symbol_ratio))).otherwise(F.col("__d")))
+    base = base.withColumn("__e", F.filter(F.col("__d"), lambda x: ~line_ends_badly(x)))
+    unmarked = F.filter(F.col("__e"), lambda x: ~line_marked(x, max_symbol_ratio))
+    base = base.withColumn("__k", F.when(suspect(text, F.col("n_symbols")), unmarked).otherwise(F.col("__e")))
     count = F.aggregate(F.col("__k"), F.lit(0).cast("long"), lambda a, x: a + F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     base = base.withColumn("n_clean_words", F.when(F.size("__k") == F.size("__f"), F.col("n_words")).otherwise(count)).withColumn("base_failed", failed)
@@ -149,13 +180,16 @@ g AS (SELECT r, i, words[i] || ' ' || words[i+1] || ' ' || words[i+2] AS gram
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS c FROM g) WHERE c > 1),
 cover AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(3) AS s(k) GROUP BY r),
 f AS (SELECT r, line, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n,
+             rtrim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS bare,
              len(regexp_extract_all(line, '[{SYMBOLS}]')) AS symbols,
-             (length(line) - length(replace(line, '{SEPARATOR}', ''))) / 3 AS bars,
+             {" + ".join(f"(length(line) - length(replace(line, '{x}', ''))) / 3" for x in SEPARATORS)} AS bars,
              (length(line) - length(replace(line, '!!', ''))) / 2 + (length(line) - length(replace(line, '??', ''))) / 2 AS marks
       FROM (SELECT r, unnest(list_distinct(lines)) AS line FROM w)),
 k AS (SELECT r, sum(n) AS n FROM f
-      WHERE NOT (symbols > greatest(2, 0.1 * length(line)) OR bars >= 2 OR 2 * marks > greatest(2, 0.1 * length(line))
-        OR {" OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)}) GROUP BY r),
+      WHERE NOT (NOT contains('{TERMINAL.replace("'", "''")}', right(bare, 1)) OR ends_with(bare, '...') OR n < {LEAST_WORDS}
+        OR symbols > greatest(2, 0.1 * length(line)) OR bars >= 2 OR 2 * marks > greatest(2, 0.1 * length(line))
+        OR {" OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)}
+        OR n <= {SHORT_WORDS} AND ({" OR ".join(f"contains(lower(line), '{p}')" for p in FURNITURE)})) GROUP BY r),
 b AS (SELECT doc_id, w.r, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
              len(regexp_extract_all(t, '[{SYMBOLS}]'))::BIGINT AS n_symbols,
              (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
