@@ -6,12 +6,12 @@ along that order, one offset per source is added, and a document leaves one copy
 each integer that its part of the sum crosses.
 
 The running sum needs no task that holds a whole source: sizes are counted per
-(source, size), then per (source, size, block of ids), and only documents of one
+(source, size), then per (source, size, block of ids by their hash), and only documents of one
 such block are put in order together.
 
 Defined results: a null or blank text has size 0 and takes 0 words; a null source
-is a source of its own and comes last; equal rows are counted each, and their copies
-are dealt among them; a null id comes first; a source of size 0 has target 0 and
+is a source of its own and comes last; equal rows are counted each, and each
+has copies of its own; a null id comes first; a source of size 0 has target 0 and
 copies 0; an empty table gives an empty table; other columns are kept as they are
 by `mixed_documents`, whatever their names.
 """
@@ -57,8 +57,9 @@ def offset(seed: int):
 
 
 def copies(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 17, blocks: int = BLOCKS) -> DataFrame:
-    """(doc_id, source, size) -> with source_size, target and copies."""
-    rows = docs.withColumn("block", F.pmod(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(blocks)))
+    """(doc_id, source, size) -> with source_size, target and copies; a column `tie` orders rows of one doc_id."""
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.withColumn("block", F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(blocks)))
     cells = rows.groupBy("source", "size", "block").agg(F.count(F.lit(1)).alias("n"))
     heights = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sizes = heights.groupBy("source").agg(F.sum("n").alias("docs"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -74,7 +75,8 @@ def copies(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 17, b
 
     heights = heights.alias("h").join(goal.alias("g"), same("h", "g", ["source"])).select("h.*", "g.source_size", "g.target", "g.rate", "g.u")
     cells = cells.alias("c").join(heights.alias("h"), same("c", "h", ["source", "size"])).select("c.source", "c.size", "c.block", (F.col("below") + F.col("before")).alias("start"), "source_size", "target", "rate", "u")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "block").orderBy(F.col("doc_id").asc_nulls_first()))
+    tie = [F.col("tie")] if "tie" in docs.columns else []
+    rank = F.row_number().over(Window.partitionBy("source", "size", "block").orderBy(F.col("doc_id").asc_nulls_first(), *tie))
     rows = rows.withColumn("rank", rank).alias("d").join(cells.alias("c"), same("d", "c", ["source", "size", "block"]))
     k = F.col("c.start") + F.col("d.rank")
     crossed = lambda n: F.floor(n.cast("double") * F.col("rate") + F.col("u"))
@@ -89,15 +91,15 @@ def sized(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
 
 
 def mixed_documents(df: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 17) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with all its columns.
+    """The mix itself: each row as often as it is taken, with all its columns.
 
-    Documents that share an id share the copies dealt to that id's rows.
+    Rows go along whole through the plan of copies, so rows that share an id have copies of their own.
     """
-    plan = copies(sized(df), weights, most, seed).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    plan = plan.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("copies").alias("__c"))
-    n = F.regexp_count(F.coalesce(df["text"], F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    out = df.join(plan, df["doc_id"].eqNullSafe(F.col("__id")) & df["source"].eqNullSafe(F.col("__s")) & (n == F.col("__n")))
-    return out.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__c")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    n = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+    rows = df.select("doc_id", "source", n.cast("long").alias("size"), F.xxhash64("text").alias("tie"), whole.alias("whole"))
+    plan = copies(rows, weights, most, seed).where("copies > 0")
+    return plan.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("whole.*")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
@@ -127,7 +129,7 @@ g AS (SELECT source, source_size,
 h AS (SELECT *, CASE WHEN source_size = 0 THEN 0.0 ELSE target / source_size END AS rate,
              ('0x' || substr(md5('17:' || coalesce('s' || source, 'null')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM g),
 n AS (SELECT d.*, h.source_size, h.target, h.rate, h.u,
-             row_number() OVER (PARTITION BY d.source ORDER BY d.size, coalesce(d.doc_id, -1) % 1021, d.doc_id NULLS FIRST) AS k
+             row_number() OVER (PARTITION BY d.source ORDER BY d.size, ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT % 1021, d.doc_id NULLS FIRST) AS k
       FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source)
 SELECT doc_id, size, source_size, target, ((floor(k * rate + u) - floor((k - 1) * rate + u))::BIGINT * size)::BIGINT AS taken,
        (floor(k * rate + u) - floor((k - 1) * rate + u))::BIGINT AS copies
