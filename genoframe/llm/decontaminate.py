@@ -5,10 +5,12 @@ and non-ASCII characters, joined by one blank. Every window of an item's words g
 into the automaton between blanks, and each normalised text runs through it once.
 Matches are mapped back to words, and to code points of the original.
 
-The automaton is built once per executor process from windows of at most `max_bytes`;
-a larger benchmark is cut into blocks of that size by window, each with its automaton,
-and their results are united by the number of the row, so nothing unbounded is broadcast
-and the size of the benchmark does not change results.
+The windows are written to the shared folder by executors. Up to `max_bytes` of them make
+one automaton, built once per executor process. A larger benchmark is dealt by the hash
+of the window to blocks of that size at most, each with its automaton: the documents are
+still read once, and every task runs each run of rows through all blocks and unites what
+they find row by row, so the size of the benchmark changes no result and rows are never
+grouped. A process keeps the automata it used last, `HELD` at most.
 
 Defined results: a null or wordless text has no words, no hits, no items; an item
 without words has no window; null item ids count as the text ''; items with equal
@@ -20,18 +22,21 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import chain
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, written
+from .common import LOWER, shared_dir
+from .shared_files import exists, mapped, put
 
 WINDOW = 13
 #: At most this many bytes of windows in one automaton.
 MAX_BYTES = 16 << 20
+#: Automata that a process keeps, and bytes of text that go through all of them together.
+HELD, RUN_BYTES = 4, 32 << 20
 NORMAL = np.full(256, 32, np.uint8)
 NORMAL[48:58] = np.arange(48, 58)
 NORMAL[65:91] = LOWER[65:91]
@@ -110,75 +115,95 @@ def original_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(points[starts[a]]), int(points[ends[b - 1]])) for a, b in zip(np.flatnonzero(runs == 1), np.flatnonzero(runs == -1))]
 
 
-def _blocks(benchmark: DataFrame, window: int, max_bytes: int) -> list[list]:
-    """The windows in lists of at most about max_bytes, one at a time on the driver."""
-    pairs = benchmark.select("item_id", "text").mapInArrow(lambda b: _windows(b, window), "item string, window binary").distinct()
-    total = pairs.agg(F.sum(F.length("window") + 24)).first()[0] or 0
-    n = -(-int(total) // max_bytes)
-    if n <= 1:
-        yield [(r.window, r.item) for r in pairs.collect()]
-        return
-    for k in range(2 * n):  # blocks by hash are uneven: half full on average
-        yield [(r.window, r.item) for r in pairs.where(F.pmod(F.xxhash64("window"), F.lit(2 * n)) == k).collect()]
-
-
-def _found(rows: DataFrame, block: list, keep: tuple) -> DataFrame:
-    """keep's columns and what one automaton finds, for each row."""
-    held = rows.sparkSession.sparkContext.broadcast(block)
-    kept = [f"`{n}` {t}" for n, t in rows.select(*keep).dtypes]
-    schema = ", ".join([*kept, "n_words long, runs array<struct<first:int,last:int>>, spans array<struct<start:int,stop:int>>, items array<string>"])
+def _put_block(uri: str):
+    def run(key, table):
+        """A block's file: (bytes of window, bytes of item, window, item) for each pair."""
+        parts, block = [], key[0].as_py()
+        for w, item in zip(table.column("window").to_pylist(), table.column("item").to_pylist()):
+            raw = item.encode("utf-8", "surrogatepass")
+            parts += [len(w).to_bytes(4, "little"), len(raw).to_bytes(4, "little"), w, raw]
+        put(f"{uri}-{block}", b"".join(parts))
+        return pa.table({"block": pa.array([block], pa.int32())})
+
+    return run
 
-    def run(batches):
-        machine = Automaton(held.value)
-        for batch in batches:
-            counts, runs, spans, items = [], [], [], []
-            for t in batch.column("__text").to_pylist():
-                n, hit, own = scanned(machine, t)
-                edge = np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))
-                counts.append(n)
-                runs.append([{"first": int(a), "last": int(b) - 1} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))])
-                spans.append([{"start": a, "stop": b} for a, b in original_spans(t, hit)] if len(hit) else [])
-                items.append(sorted(own))
-            pair = lambda a, b: pa.list_(pa.struct([(a, pa.int32()), (b, pa.int32())]))
-            more = [pa.array(counts, pa.int64()), pa.array(runs, pair("first", "last")), pa.array(spans, pair("start", "stop")), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *more], [*batch.schema.names[: len(keep)], "n_words", "runs", "spans", "items"])
 
-    return rows.select(*keep, "__text").mapInArrow(run, schema)
+def _pairs(data: bytes):
+    at = 0
+    while at < len(data):
+        n, m = int.from_bytes(data[at : at + 4], "little"), int.from_bytes(data[at + 4 : at + 8], "little")
+        at += 8
+        yield data[at : at + n], data[at + n : at + n + m].decode("utf-8", "surrogatepass")
+        at += n + m
 
 
-def _merged(runs: Column) -> Column:
-    """Sorted runs, each with its span; those that overlap or touch become one."""
+def blocks_of(benchmark: DataFrame, window: int = WINDOW, max_bytes: int = MAX_BYTES) -> tuple[str, int]:
+    """Writes the windows to files uri-0, uri-1, ...; (uri, how many)."""
+    pairs = benchmark.select("item_id", "text").mapInArrow(lambda b: _windows(b, window), "item string, window binary").distinct()
+    total = int(pairs.agg(F.sum(F.length("window") + 24)).first()[0] or 0)
+    n = 1 if total <= max_bytes else 2 * -(-total // max_bytes)  # blocks by hash are uneven: half full on average
+    uri = shared_dir(benchmark.sparkSession, "windows") + "/block"
+    block = F.pmod(F.xxhash64("window"), F.lit(n)).cast("int").alias("block")
+    pairs.select(block, "window", "item").groupBy("block").applyInArrow(_put_block(uri), "block int").count()
+    for k in range(n):
+        if not exists(f"{uri}-{k}"):
+            put(f"{uri}-{k}", b"")
+    return uri, n
+
 
-    def add(out: Column, x: Column) -> Column:
-        last = F.element_at(out, -1)
-        wider = F.when(x["last"] > last["last"], x["stop"]).otherwise(last["stop"])
-        both = F.struct(last["first"].alias("first"), F.greatest(last["last"], x["last"]).alias("last"), last["start"].alias("start"), wider.alias("stop"))
-        joins = (F.size(out) > 0) & (x["first"] <= F.get(out, F.size(out) - 1)["last"] + 1)
-        return F.when(joins, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(out, F.array(x)))
+_MACHINES: OrderedDict[str, Automaton] = OrderedDict()
 
-    return F.aggregate(F.array_sort(runs), F.filter(runs, lambda x: F.lit(False)), add)
+
+def machine_of(uri: str) -> Automaton:
+    """The automaton of a block's file; the last HELD ones stay in the process."""
+    if uri not in _MACHINES:
+        while len(_MACHINES) >= HELD:
+            _MACHINES.popitem(last=False)
+        _MACHINES[uri] = Automaton(_pairs(mapped(uri).tobytes()))
+    _MACHINES.move_to_end(uri)
+    return _MACHINES[uri]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_bytes: int = MAX_BYTES, keep: tuple = ("doc_id",)) -> DataFrame:
     """keep's columns with n_words, the hit runs of words, their code points in the original, and the items."""
+    uri, blocks = blocks_of(benchmark, window, max_bytes)
     rows = docs.select(*keep, F.col("text").alias("__text"))
-    blocks = _blocks(benchmark, window, max_bytes)
-    first, second = next(blocks), next(blocks, None)
-    if second is None:
-        return _found(rows, first, keep)
-    # the rows are numbered once, in a table, so that what the blocks find in a row meets again in it alone
-    rows = written(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    out = _found(rows, first, (*keep, "__row")).select("__row", F.struct(*keep).alias("__kept"), "n_words", "runs", "spans", "items")
-    for block in chain([second], blocks):
-        more = _found(rows, block, ("__row",)).where(F.size("items") > 0)
-        out = out.unionByName(more.select("__row", F.lit(None).cast(out.schema["__kept"].dataType).alias("__kept"), "n_words", "runs", "spans", "items"))
-    placed = F.zip_with("runs", "spans", lambda r, s: F.struct(r["first"].alias("first"), r["last"].alias("last"), s["start"].alias("start"), s["stop"].alias("stop")))
-    out = out.groupBy("__row").agg(
-        F.first("__kept", True).alias("__kept"), F.first("n_words").alias("n_words"),
-        F.flatten(F.collect_list(placed)).alias("placed"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-    ).withColumn("placed", _merged(F.col("placed")))
-    part = lambda *names: F.transform("placed", lambda x: F.struct(*[x[n].alias(n) for n in names]))
-    return out.select("__kept.*", "n_words", part("first", "last").alias("runs"), part("start", "stop").alias("spans"), "items")
+    kept = [f"`{n}` {t}" for n, t in rows.select(*keep).dtypes]
+    schema = ", ".join([*kept, "n_words long, runs array<struct<first:int,last:int>>, spans array<struct<start:int,stop:int>>, items array<string>"])
+
+    def found(batch):
+        """One record batch, its rows run through every block."""
+        texts = batch.column("__text").to_pylist()
+        counts, hit, items = [0] * len(texts), {}, {}
+        for k in range(blocks):
+            machine = machine_of(f"{uri}-{k}")
+            for i, t in enumerate(texts):
+                n, own_hit, own = scanned(machine, t)
+                counts[i] = n
+                if own:
+                    hit[i] = own_hit | hit[i] if i in hit else own_hit
+                    items.setdefault(i, set()).update(own)
+        runs, spans = [], []
+        for i, t in enumerate(texts):
+            edge = np.diff(np.concatenate(([False], hit[i], [False])).astype(np.int8)) if i in hit else np.zeros(0, np.int8)
+            runs.append([{"first": int(a), "last": int(b) - 1} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))])
+            spans.append([{"start": a, "stop": b} for a, b in original_spans(t, hit[i])] if i in hit else [])
+        pair = lambda a, b: pa.list_(pa.struct([(a, pa.int32()), (b, pa.int32())]))
+        more = [pa.array(counts, pa.int64()), pa.array(runs, pair("first", "last")), pa.array(spans, pair("start", "stop")), pa.array([sorted(items.get(i, ())) for i in range(len(texts))], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *more], [*batch.schema.names[: len(keep)], "n_words", "runs", "spans", "items"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= RUN_BYTES or blocks <= HELD:
+                yield from map(found, pa.Table.from_batches(held).combine_chunks().to_batches())
+                held, size = [], 0
+        if held:
+            yield from map(found, pa.Table.from_batches(held).combine_chunks().to_batches())
+
+    return rows.mapInArrow(run, schema)
 
 
 def verdicts(found: DataFrame) -> DataFrame:

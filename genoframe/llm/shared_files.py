@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 from pyarrow import fs
@@ -43,13 +44,18 @@ def scratch_folder() -> str | None:
     return top if top and os.path.isdir(top) else None
 
 
-_HELD: dict[str, np.ndarray] = {}
+#: Files that a process keeps mapped; those used least lately are let go.
+HELD_FILES = 256
+_HELD: OrderedDict[str, np.ndarray] = OrderedDict()
 
 
 def mapped_once(uri: str) -> np.ndarray:
-    """mapped(), kept for the life of the process; names are never used twice."""
+    """mapped(), kept while it is among the HELD_FILES used last; names are never used twice."""
     if uri not in _HELD:
+        while len(_HELD) >= HELD_FILES:
+            _HELD.popitem(last=False)
         _HELD[uri] = mapped(uri)
+    _HELD.move_to_end(uri)
     return _HELD[uri]
 
 
