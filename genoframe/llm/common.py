@@ -67,14 +67,18 @@ def partitions(spark: SparkSession) -> int:
 BUCKET_INPUT = 256 << 20
 
 
-def buckets_for(df: DataFrame) -> int:
-    """How many buckets keys from df are dealt to: the shuffle partitions, or more if the input is large.
+def input_bytes(df: DataFrame) -> int:
+    """The size of the files that df reads; where the plan has no estimate, BUCKET_INPUT for each shuffle partition."""
+    size = 0
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    for i in range(leaves.size()):
+        size += int(str(leaves.apply(i).stats().sizeInBytes()))
+    return size if size < 1 << 58 else BUCKET_INPUT * partitions(df.sparkSession)
+
 
-    The size is the plan's own estimate from its files; where it has none, the partitions count.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = partitions(df.sparkSession)
-    return max(least, -(-size // BUCKET_INPUT)) if size < 1 << 58 else least
+def buckets_for(df: DataFrame) -> int:
+    """How many buckets keys from df are dealt to: the shuffle partitions, or more if the input is large."""
+    return max(partitions(df.sparkSession), -(-input_bytes(df) // BUCKET_INPUT))
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,5 +239,11 @@ def packed_rows(keys: np.ndarray, buckets: int, *more: np.ndarray):
 PACKED = "bucket int, packed binary"
 
 
+def with_all(packed: DataFrame, buckets: int, *more: np.ndarray) -> DataFrame:
+    """Rows of PACKED with one more for every bucket, so that each has a file, written by the task that merges it."""
+    none = pack(np.zeros(0, np.uint64), *(more or (np.zeros(0, np.uint32),)))
+    return packed.unionByName(packed.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(none).alias("packed")))
+
+
 def segment_sums(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(rows, weights=values, minlength=n)

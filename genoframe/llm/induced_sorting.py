@@ -1,19 +1,25 @@
 """External induced suffix sorting with common-prefix values.
 
 Suffixes are sorted as in induced sorting: leftmost-S suffixes are named by their
-substrings, the string of names is sorted by recursion (in memory once it fits), and
-a pass up and a pass down the buckets induce all others from them. Both passes run
-off a priority queue whose keys are (first character, order of arrival): a monotone
-queue of one first-in-first-out run per character, whose entries - suffix tuples of
-position and common-prefix value - spill to disk beyond a set size. Tuples of one
-bucket are taken in blocks: all that are there, then those that they themselves
-added, and so on.
+substrings, the string of names is sorted by recursion, and a pass up and a pass down the
+buckets induce all others from them. Both passes run off a priority queue whose keys are
+(character, order of arrival): a monotone queue of first-in-first-out runs, kept by
+character for the range of characters that the pass has reached and by range for those
+ahead, whose entries - suffix tuples of position and common-prefix value - spill to disk
+beyond a set size. Tuples of one bucket are taken in blocks, then those that they
+themselves added, and so on.
 
 A tuple's common-prefix value is that with the tuple before it in its bucket: one
 more than the least value among the tuples scanned since that one was induced.
 Values are held up to `depth`, and order beyond `depth` characters is not needed.
 
-Arrays longer than the memory limit are mapped to unnamed scratch files.
+Memory. A string longer than `limit`, and all that goes with it (types, leftmost-S
+positions, names, suffixes, common prefixes), is in unnamed scratch files mapped into
+memory; steps work on blocks of a fraction of `limit` entries and the queue holds `limit`
+entries. The names of leftmost-S substrings come from an induction of their own, and are
+sorted by recursion. Only a string of names of no more than `small` entries is
+named and sorted in memory, by doubling; with the bounds by default that is where the
+recursion ends.
 """
 
 from __future__ import annotations
@@ -25,7 +31,9 @@ import numpy as np
 from .shared_files import scratch_folder
 
 #: Entries (8 bytes or less) that an array or the queue may hold in memory.
-IN_MEMORY = 8_000_000
+IN_MEMORY = 1 << 20
+#: Times IN_MEMORY: names that are sorted in memory.
+SMALL = 2
 
 
 def scratch(n: int, kind, limit: int) -> np.ndarray:
@@ -37,65 +45,127 @@ def scratch(n: int, kind, limit: int) -> np.ndarray:
     return np.memmap(out, kind, "r+", shape=(n,))
 
 
+def blocks(low: int, high: int, size: int):
+    return ((i, min(high, i + size)) for i in range(low, high, size))
+
+
 class BucketQueue:
-    """First-in-first-out runs of (position, common prefix) for each character; beyond limit entries they go to disk."""
+    """First-in-first-out runs of (position, common prefix) for each character; beyond limit entries they go to disk.
+
+    Characters go up to top. Runs of characters in another range than the open one are held
+    together, in order of arrival, until the range is opened.
+    """
+
+    RANGES = 256
 
-    def __init__(self, limit: int):
-        self.limit, self.held = limit, 0
-        self.runs: dict[int, list] = {}
-        self.file, self.end = None, 0
+    def __init__(self, limit: int, top: int):
+        self.limit, self.width = limit, top // self.RANGES + 1
+        self.far: dict[int, list] = {}
+        self.near: dict[int, list] = {}
+        self.open, self.held, self.file, self.end = -1, 0, None, 0
 
-    def put(self, q: int, pos: np.ndarray, lcp: np.ndarray) -> None:
-        self.runs.setdefault(q, []).append((pos, lcp))
-        self.held += len(pos)
+    def _append(self, run: list, *arrays: np.ndarray) -> None:
+        run.append(arrays)
+        self.held += len(arrays[0])
         if self.held > self.limit:
             self.spill()
 
+    def _loaded(self, chunk) -> tuple:
+        if isinstance(chunk[0], np.ndarray):
+            self.held -= len(chunk[0])
+            return chunk
+        place, n, kinds = chunk
+        self.file.seek(place)
+        return tuple(np.frombuffer(self.file.read(n * k.itemsize), k) for k in kinds)
+
     def spill(self) -> None:
         if self.file is None:
             self.file = tempfile.TemporaryFile(dir=scratch_folder())
-        for run in self.runs.values():
-            for k, (pos, lcp) in enumerate(run):
-                if isinstance(pos, np.ndarray):
+        for run in [*self.far.values(), *self.near.values()]:
+            for k, chunk in enumerate(run):
+                if isinstance(chunk[0], np.ndarray):
                     self.file.seek(self.end)
-                    self.file.write(pos.tobytes() + lcp.tobytes())
-                    run[k] = (self.end, (len(pos), pos.dtype, lcp.dtype))
-                    self.end += pos.nbytes + lcp.nbytes
+                    for a in chunk:
+                        self.file.write(np.ascontiguousarray(a).tobytes())
+                    run[k] = (self.end, len(chunk[0]), [a.dtype for a in chunk])
+                    self.end += sum(a.nbytes for a in chunk)
         self.held = 0
 
-    def take(self, q: int):
-        """The run of q so far, in order of arrival, in blocks."""
-        for pos, lcp in self.runs.pop(q, []):
-            if isinstance(pos, np.ndarray):
-                self.held -= len(pos)
-            else:
-                n, a, b = lcp
-                self.file.seek(pos)
-                pos, lcp = np.frombuffer(self.file.read(n * a.itemsize), a), np.frombuffer(self.file.read(n * b.itemsize), b)
-            yield pos, lcp
-
-    def block(self, q: int, kind) -> tuple[np.ndarray, np.ndarray]:
-        parts = list(self.take(q))
+    def put(self, char: np.ndarray, pos: np.ndarray, lcp: np.ndarray) -> None:
+        """Entries in order of arrival."""
+        if not len(char):
+            return
+        place = char // self.width
+        if (place == place[0]).all():
+            self._put(int(place[0]), char, pos, lcp)
+            return
+        order = np.argsort(place, kind="stable")
+        char, pos, lcp, place = char[order], pos[order], lcp[order], place[order]
+        cuts = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]))
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            self._put(int(place[i]), char[i:j], pos[i:j], lcp[i:j])
+
+    def _put(self, place: int, char: np.ndarray, pos: np.ndarray, lcp: np.ndarray) -> None:
+        if place != self.open:
+            self._append(self.far.setdefault(place, []), char, pos, lcp)
+            return
+        if (char == char[0]).all():
+            self._append(self.near.setdefault(int(char[0]), []), pos, lcp)
+            return
+        order = np.argsort(char, kind="stable")
+        char, pos, lcp = char[order], pos[order], lcp[order]
+        cuts = np.concatenate(([0], np.flatnonzero(char[1:] != char[:-1]) + 1, [len(char)]))
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            self._append(self.near.setdefault(int(char[i]), []), pos[i:j], lcp[i:j])
+
+    def take(self, char: int, size: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """The entries of a character that came first, about size of them; None if there are none."""
+        place = char // self.width
+        if place != self.open:
+            self.open = place
+            for chunk in self.far.pop(place, []):
+                self._put(place, *self._loaded(chunk))
+        run, parts, n = self.near.get(char), [], 0
+        while run and n < size:
+            parts.append(self._loaded(run.pop(0)))
+            n += len(parts[-1][0])
         if not parts:
-            return np.zeros(0, kind), np.zeros(0, np.int16)
-        return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if len(parts) > 1 else parts[0]
+            self.near.pop(char, None)
+            return None
+        return parts[0] if len(parts) == 1 else (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
 
-def s_types(t: np.ndarray) -> np.ndarray:
+def s_types(t: np.ndarray, limit: int) -> np.ndarray:
     """Whether each suffix is smaller than the next; the last one counts as such."""
-    n = len(t)
-    out = np.ones(n, bool)
-    if n > 1:
-        differs = np.flatnonzero(t[:-1] != t[1:])
-        smaller = t[differs] < t[differs + 1]
-        nearest = np.searchsorted(differs, np.arange(n - 1))
+    n, out = len(t), scratch(len(t), bool, limit)
+    for i, j in reversed(list(blocks(0, n, max(1, limit // 8)))):
+        x = np.asarray(t[i : min(n, j + 1)])
+        differs = np.flatnonzero(x[:-1] != x[1:])
+        smaller = x[differs] < x[differs + 1]
+        nearest = np.searchsorted(differs, np.arange(j - i))
         inside = nearest < len(differs)
-        out[:-1][inside] = smaller[nearest[inside]]
+        own = np.full(j - i, bool(out[j]) if j < n else True)
+        own[inside] = smaller[nearest[inside]]
+        out[i:j] = own
+    return out
+
+
+def leftmost(s: np.ndarray, limit: int) -> np.ndarray:
+    """Positions of S suffixes after an L one; the last position if there are none."""
+    size = max(1, limit // 8)
+    found = lambda i, j: np.flatnonzero(s[i:j] & ~s[i - 1 : j - 1]) + i
+    n = sum(len(found(i, j)) for i, j in blocks(1, len(s), size))
+    out, at = scratch(max(1, n), np.int64, limit), 0
+    out[0] = len(s) - 1
+    for i, j in blocks(1, len(s), size):
+        own = found(i, j)
+        out[at : at + len(own)] = own
+        at += len(own)
     return out
 
 
 def names_of(t: np.ndarray, s: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """Dense ranks of the substrings from each leftmost-S position to the next."""
+    """Dense ranks of the substrings from each leftmost-S position to the next, in memory."""
     top = int(t.max()) * 2 + 1
     bits = max(1, top.bit_length())
     per = max(1, 63 // bits)
@@ -143,45 +213,76 @@ def doubled(r: np.ndarray, depth: int) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
-def common_prefixes(t: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+def induced_names(t: np.ndarray, s: np.ndarray, lms: np.ndarray, starts: np.ndarray, limit: int) -> tuple[np.ndarray, int]:
+    """What names_of() gives, and how many distinct names there are, in bounded memory.
+
+    Leftmost-S positions go to their buckets in any order; an induction from them puts their
+    substrings in order, and neighbours are compared.
+    """
+    size, kind = max(1, limit // 8), np.int64
+    seeds, at = scratch(len(lms), kind, limit), None
+    counts = _counts_by_char(t, lms, len(starts) - 1, limit)
+    at = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    for i, j in blocks(0, len(lms), size):
+        own = np.asarray(lms[i:j])
+        char = t[own].astype(np.int64)
+        order = np.argsort(char, kind="stable")
+        own, char = own[order], char[order]
+        first = np.concatenate(([True], char[1:] != char[:-1]))
+        within = np.arange(len(char)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        seeds[at[char] + within] = own
+        np.add.at(at, char, 1)
+    sa, _ = induced(t, starts, seeds, None, 0, limit)
+    names, name, last = scratch(len(lms), kind, limit), -1, None
+    for i, j in blocks(0, len(sa), size):
+        p = np.asarray(sa[i:j]).astype(np.int64)
+        p = p[(p > 0) & s[p] & ~s[np.maximum(p - 1, 0)]]
+        if not len(p):
+            continue
+        k = np.searchsorted(lms, p)
+        sizes = lms[np.minimum(k + 1, len(lms) - 1)] - p + 1
+        both = np.concatenate([[last[0]], p]) if last else p
+        long = np.concatenate([[last[1]], sizes]) if last else sizes
+        same = long[1:] == long[:-1]
+        live, d = np.flatnonzero(same), 0
+        while len(live):
+            equal = t[both[live] + d] == t[both[live + 1] + d]
+            same[live[~equal]] = False
+            live = live[equal]
+            d += 1
+            live = live[long[live] > d]
+        new = ~same if last else np.concatenate(([True], ~same))
+        own = name + np.cumsum(new)
+        names[k] = own
+        name, last = int(own[-1]), (int(p[-1]), int(sizes[-1]))
+    return names, name + 1
+
+
+def common_prefixes(t: np.ndarray, order: np.ndarray, depth: int, limit: int) -> np.ndarray:
     """Of each suffix with the one before it in order, up to depth; 0 for the first."""
-    n = len(t)
-    out = np.zeros(len(order), np.int16)
-    if len(order) < 2:
-        return out
-    packs = t.dtype == np.uint16
-    step = 4 if packs else 1
-    wide = np.zeros(n + 3, np.uint64)
-    wide[:n] = t
-    look = wide[:n].copy()
-    if packs:
-        for j in range(1, 4):
-            look |= wide[j : n + j] << np.uint64(16 * j)
-    a, b, at = order[:-1], order[1:], np.arange(1, len(order))
-    for d in range(0, depth, step):
-        inside = np.maximum(a, b) + d < n
-        x = np.where(inside, look[np.minimum(a + d, n - 1)] ^ look[np.minimum(b + d, n - 1)], np.uint64(1))
-        same = x == 0
-        more = np.zeros(len(x), np.int16)
-        if packs:
-            for j in range(1, 4):
-                more += (x << np.uint64(64 - 16 * j)) == 0
-        out[at] = d + np.where(same, step, more)
-        a, b, at = a[same], b[same], at[same]
-        if not len(at):
-            break
-    return np.minimum(out, depth)
+    n, out = len(t), scratch(len(order), np.int16, limit)
+    for i, j in blocks(1, len(order), max(1, limit // 8)):
+        a, b = np.asarray(order[i - 1 : j - 1]).astype(np.int64), np.asarray(order[i:j]).astype(np.int64)
+        value, at = np.zeros(j - i, np.int16), np.arange(j - i)
+        for d in range(depth):
+            same = (np.maximum(a, b) + d < n) & (t[np.minimum(a + d, n - 1)] == t[np.minimum(b + d, n - 1)])
+            a, b, at = a[same], b[same], at[same]
+            value[at] = d + 1
+            if not len(at):
+                break
+        out[i:j] = value
+    return out
 
 
 class Induction:
-    """One pass over the buckets: what is scanned puts the suffix before it into the queue."""
+    """One pass over the buckets: what is scanned puts the suffix before it into the queue. Without depth, no prefixes are kept."""
 
-    def __init__(self, t: np.ndarray, depth: int, limit: int, up: bool):
+    def __init__(self, t: np.ndarray, depth: int, limit: int, up: bool, top: int):
         self.t, self.depth, self.up = t, depth, up
-        self.queue = BucketQueue(limit)
+        self.queue = BucketQueue(limit, top)
         self.least: dict[int, int] = {}
 
-    def scan(self, c: int, pos: np.ndarray, lcp: np.ndarray, equal: bool) -> None:
+    def scan(self, c: int, pos: np.ndarray, lcp: np.ndarray | None, equal: bool) -> None:
         """Scans tuples of bucket c in order; equal: whether a like character before belongs to this pass."""
         if not len(pos):
             return
@@ -189,23 +290,24 @@ class Induction:
         q = self.t[np.maximum(before, 0)]
         wanted = (before >= 0) & (((q > c) if self.up else (q < c)) | ((q == c) if equal else False))
         at = np.flatnonzero(wanted)
+        if not self.depth:
+            self.queue.put(q[at].astype(np.int64), before[at], np.zeros(len(at), np.int8))
+            return
         whole = int(lcp.min())
+        fresh = {}
         if len(at):
             own = q[at]
             order = np.argsort(own, kind="stable")
             at, own = at[order], own[order]
             cuts = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]))
             tail = np.minimum.accumulate(lcp[::-1])[::-1]
-            fresh = {}
             for i, j in zip(cuts[:-1], cuts[1:]):
                 char, idx = int(own[i]), at[i:j]
                 edges = np.concatenate(([0], idx[:-1] + 1))
                 values = np.minimum.reduceat(lcp[: idx[-1] + 1], edges)
                 values[0] = min(int(values[0]), self.least.get(char, -1))
-                self.queue.put(char, before[idx], np.minimum(values + 1, self.depth).astype(np.int16))
+                self.queue.put(own[i:j].astype(np.int64), before[idx], np.minimum(values + 1, self.depth).astype(np.int16))
                 fresh[char] = int(tail[idx[-1] + 1]) if idx[-1] + 1 < len(lcp) else self.depth
-        else:
-            fresh = {}
         for char in self.least:
             if char not in fresh:
                 self.least[char] = min(self.least[char], whole)
@@ -218,82 +320,100 @@ def _run_length(t: np.ndarray, p: int, depth: int) -> int:
     return int(other[0]) if len(other) else len(part)
 
 
-def sorted_suffixes(t: np.ndarray, depth: int, limit: int = IN_MEMORY, small: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of t up to depth, and each suffix's common prefix with the one before it.
+def _counts_by_char(t: np.ndarray, positions: np.ndarray | None, top: int, limit: int) -> np.ndarray:
+    out = np.zeros(top, np.int64)
+    for i, j in blocks(0, len(t) if positions is None else len(positions), max(1, limit // 8)):
+        out += np.bincount(t[i:j] if positions is None else t[np.asarray(positions[i:j])], minlength=top)
+    return out
 
-    t ends with a character that is smaller than all others. Strings of names no longer
-    than `small` are sorted in memory.
-    """
-    n = len(t)
-    small = limit if small is None else small
+
+def induced(t: np.ndarray, starts: np.ndarray, seeds: np.ndarray, seed_lcp: np.ndarray | None, depth: int, limit: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """All suffixes in order, from leftmost-S ones by bucket; with common prefixes up to depth if it isn't 0."""
+    n, top, size = len(t), len(starts) - 1, max(1, limit // 8)
     kind = np.int32 if n < 2**31 else np.int64
-    s = s_types(t)
-    lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
-    if not len(lms):
-        lms = np.array([n - 1])
-    names = names_of(t, s, lms)
-    if int(names.max()) + 1 == len(lms):
-        order = np.argsort(names, kind="stable")
-    elif len(lms) <= small:
-        order = doubled(names, depth // 2 + 2)
-    else:
-        order = sorted_suffixes(names, depth // 2 + 2, limit, small)[0]
-    seeds = lms[order].astype(kind)
-    seed_lcp = common_prefixes(t, seeds.astype(np.int64), depth)
-    chars, sizes = np.unique(t, return_counts=True)
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    seed_cuts = np.searchsorted(t[seeds], chars, "left"), np.searchsorted(t[seeds], chars, "right")
-    sa, lcp = scratch(n, kind, limit), scratch(n, np.int16, limit)
-    n_l = np.zeros(len(chars), np.int64)
-
-    up = Induction(t, depth, limit, True)
-    for k, c in enumerate(map(int, chars)):
-        at, first = int(starts[k]), True
-        while True:
-            pos, own = up.queue.block(c, kind)
-            if not len(pos):
-                break
-            if first:
-                own = own.copy()
-                own[0] = 0
-                first = False
-            sa[at : at + len(pos)], lcp[at : at + len(pos)] = pos, own
+    sa, lcp = scratch(n, kind, limit), scratch(n, np.int16, limit) if depth else None
+    cuts = np.concatenate(([0], np.cumsum(_counts_by_char(t, seeds, top, limit))))
+    n_l = np.zeros(top, np.int64)
+    used = np.flatnonzero(starts[1:] > starts[:-1]).tolist()
+
+    up = Induction(t, depth, limit, True, top)
+    for c in used:
+        at = int(starts[c])
+        while got := up.queue.take(c, size):
+            pos, own = got
+            if depth:
+                if at == starts[c]:
+                    own = own.copy()
+                    own[0] = 0
+                lcp[at : at + len(pos)] = own
+            sa[at : at + len(pos)] = pos
             at += len(pos)
             up.scan(c, pos, own, True)
-        n_l[k] = at - starts[k]
-        pos, own = seeds[seed_cuts[0][k] : seed_cuts[1][k]], seed_lcp[seed_cuts[0][k] : seed_cuts[1][k]].copy()
-        if len(pos):
-            own[0] = min(depth, _run_length(t, int(sa[at - 1]), depth), _run_length(t, int(pos[0]), depth)) if n_l[k] else 0
+        n_l[c] = at - starts[c]
+        for i, j in blocks(int(cuts[c]), int(cuts[c + 1]), size):
+            pos = np.asarray(seeds[i:j]).astype(kind)
+            own = np.array(seed_lcp[i:j]) if depth else None
+            if depth and i == cuts[c]:
+                own[0] = min(depth, _run_length(t, int(sa[at - 1]), depth), _run_length(t, int(pos[0]), depth)) if n_l[c] else 0
             up.scan(c, pos, own, False)
 
-    down = Induction(t, depth, limit, False)
-    for k in range(len(chars) - 1, -1, -1):
-        c, end, middle, first = int(chars[k]), int(starts[k + 1]), int(starts[k] + n_l[k]), True
-        last_s = -1
-        if k == 0:
-            down.queue.put(c, np.array([n - 1], kind), np.zeros(1, np.int16))
-        while True:
-            pos, own = down.queue.block(c, kind)
-            if not len(pos):
-                break
-            own = own.copy()
-            if first:
-                own[0] = 0
-                first = False
+    down = Induction(t, depth, limit, False, top)
+    down.queue.put(np.array([used[0]]), np.array([n - 1], kind), np.zeros(1, np.int16 if depth else np.int8))
+    for c in reversed(used):
+        end, middle, first, last_s = int(starts[c + 1]), int(starts[c] + n_l[c]), True, -1
+        while got := down.queue.take(c, size):
+            pos, own = got
             new = end - len(pos)
             sa[new:end] = pos[::-1]
-            # each has its value with the next larger one, where that one keeps it
-            lcp[new + 1 : end] = own[1:][::-1]
-            if end < starts[k + 1]:
-                lcp[end] = own[0]
+            if depth:
+                if first:
+                    own = own.copy()
+                    own[0] = 0
+                    first = False
+                # each has its value with the next larger one, where that one keeps it
+                lcp[new + 1 : end] = own[1:][::-1]
+                if end < starts[c + 1]:
+                    lcp[end] = own[0]
             end, last_s = new, int(pos[-1])
             down.scan(c, pos, own, True)
         seam = 0
-        if n_l[k] and last_s >= 0:
+        if depth and n_l[c] and last_s >= 0:
             seam = min(depth, _run_length(t, last_s, depth), _run_length(t, int(sa[middle - 1]), depth))
-        if last_s >= 0:
+        if depth and last_s >= 0:
             lcp[middle] = seam
-        if n_l[k]:
-            pos, own = sa[starts[k] : middle][::-1], np.concatenate([[seam], lcp[starts[k] + 1 : middle][::-1]]).astype(np.int16)
-            down.scan(c, np.ascontiguousarray(pos), own, False)
+        for j in range(middle, int(starts[c]), -size):
+            i = max(int(starts[c]), j - size)
+            own = None
+            if depth:
+                own = np.concatenate([[seam if j == middle else lcp[j]], lcp[i + 1 : j][::-1]]).astype(np.int16)
+            down.scan(c, np.ascontiguousarray(sa[i:j][::-1]), own, False)
     return sa, lcp
+
+
+def sorted_suffixes(t: np.ndarray, depth: int, limit: int = IN_MEMORY, small: int | None = None, prefixes: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Suffix array of t up to depth, and each suffix's common prefix with the one before it.
+
+    t ends with a character that is smaller than all others.
+    """
+    small = SMALL * limit if small is None else small
+    top = max(int(t[i:j].max()) for i, j in blocks(0, len(t), max(1, limit // 8))) + 1
+    starts = np.concatenate(([0], np.cumsum(_counts_by_char(t, None, top, limit))))
+    s = s_types(t, limit)
+    lms = leftmost(s, limit)
+    if len(lms) <= small:
+        names = names_of(t, s, np.asarray(lms))
+        order = np.argsort(names, kind="stable") if int(names.max()) + 1 == len(lms) else doubled(names, depth // 2 + 2)
+    else:
+        names, distinct = induced_names(t, s, lms, starts, limit)
+        if distinct < len(lms):
+            order = sorted_suffixes(names, depth // 2 + 2, limit, small, False)[0]
+        else:
+            order = scratch(len(lms), np.int64, limit)
+            for i, j in blocks(0, len(lms), max(1, limit // 8)):
+                order[names[i:j]] = np.arange(i, j)
+    seeds = scratch(len(lms), np.int64, limit)
+    for i, j in blocks(0, len(lms), max(1, limit // 8)):
+        seeds[i:j] = lms[np.asarray(order[i:j])]
+    if not prefixes:
+        return induced(t, starts, seeds, None, 0, limit)
+    return induced(t, starts, seeds, common_prefixes(t, seeds, depth, limit), depth, limit)

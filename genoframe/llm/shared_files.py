@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mmap
 import os
 import tempfile
 import uuid
@@ -30,7 +31,7 @@ def mapped(uri: str) -> np.ndarray:
     """The file's bytes, mapped into memory; from a remote store through an unnamed scratch copy."""
     store, path = fs.FileSystem.from_uri(uri)
     if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
+        return _map(path) if os.path.getsize(path) else np.zeros(0, np.uint8)
     with store.open_input_stream(path) as stream, tempfile.TemporaryFile(dir=scratch_folder()) as out:
         while block := stream.read(8 << 20):
             out.write(block)
@@ -38,6 +39,15 @@ def mapped(uri: str) -> np.ndarray:
         return np.memmap(out, np.uint8, "r") if out.tell() else np.zeros(0, np.uint8)
 
 
+def _map(path: str) -> np.ndarray:
+    """Maps a file without keeping it open, where Python can: thousands may be mapped."""
+    with open(path, "rb") as f:
+        try:
+            return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), np.uint8)
+        except TypeError:
+            return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), np.uint8)
+
+
 def scratch_folder() -> str | None:
     """Where this executor's own spills go: Spark's local folders, as for Spark's own."""
     top = (os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("LOCAL_DIRS") or "").split(",")[0]
@@ -45,8 +55,9 @@ def scratch_folder() -> str | None:
 
 
 #: Files that a process keeps mapped; those used least lately are let go.
-HELD_FILES = 256
+HELD_FILES = 4096
 _HELD: OrderedDict[str, np.ndarray] = OrderedDict()
+_ARRAYS: OrderedDict[str, dict] = OrderedDict()
 
 
 def mapped_once(uri: str) -> np.ndarray:
@@ -73,14 +84,19 @@ def put_arrays(uri: str, **arrays: np.ndarray) -> None:
 
 
 def arrays_of(uri: str) -> dict[str, np.ndarray]:
-    data = mapped_once(uri)
-    n = int(data[:8].view(np.uint64)[0])
-    out = {}
-    for entry in bytes(data[8 : 8 + n]).decode().strip().split(";"):
-        name, kind, size, at = entry.split(",")
-        first = 8 + n + int(at)
-        out[name] = data[first : first + int(size) * np.dtype(kind).itemsize].view(np.dtype(kind))
-    return out
+    """The arrays of a file, mapped; the dict is kept as mapped_once() keeps files."""
+    if uri not in _ARRAYS:
+        while len(_ARRAYS) >= HELD_FILES:
+            _ARRAYS.popitem(last=False)
+        data, out = mapped(uri), {}
+        n = int(data[:8].view(np.uint64)[0])
+        for entry in bytes(data[8 : 8 + n]).decode().strip().split(";"):
+            name, kind, size, at = entry.split(",")
+            first = 8 + n + int(at)
+            out[name] = data[first : first + int(size) * np.dtype(kind).itemsize].view(np.dtype(kind))
+        _ARRAYS[uri] = out
+    _ARRAYS.move_to_end(uri)
+    return _ARRAYS[uri]
 
 
 def member(uri: str, keys: np.ndarray, buckets: int, bucket: np.ndarray) -> np.ndarray:

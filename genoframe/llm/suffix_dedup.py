@@ -10,13 +10,16 @@ window whose minimizer occurs once has no equal, so only pieces of repeated mini
 go on, to the shard of their hash. Equal windows therefore always meet in one shard.
 
 Hot passages. Pieces that are equal as a whole are merged before they are shuffled and
-again in the shard: the earliest stays, the others are covered from end to end. What a
-shard sorts are distinct pieces, however many copies there are.
+again in the shard, within a bounded memory: the earliest stays, the others are covered
+from end to end.
 
-In the shard. The distinct pieces, in order of occurrence, are one string whose suffixes
-are sorted by external induced sorting (induced_sorting.py) with common-prefix values;
-runs of suffixes with common prefixes of `length` or more are equal windows, of which
-all but the first occurrence are covered. Shards may be larger than memory.
+In the shard. A shard's rows come in order, a batch at a time, and its pieces go to
+scratch files. In order of occurrence they are one string whose suffixes are sorted by
+external induced sorting (induced_sorting.py) with common-prefix values; runs of suffixes
+with common prefixes of `length` or more are equal windows, of which all but the first
+occurrence are covered. Strings, suffix tuples and prefix values beyond `limit` entries
+are on disk, so shards may be larger than memory; what is held in memory for each piece
+are the five numbers of its place.
 
 Defined results: a null text is empty; texts shorter than `length` lose nothing; rows
 that share doc_id and text are one document and get equal results; rows that share only
@@ -27,39 +30,41 @@ columns play no part, whatever their names; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, PACKED, Counts, bucket_of, buckets_for, mixed, pack, powers, prefix_hashes, shared_dir, text_bytes, unpack, written
-from .induced_sorting import IN_MEMORY, sorted_suffixes
-from .shared_files import member, put
+from .common import CHUNK, PACKED, Counts, bucket_of, buckets_for, mixed, pack, partitions, powers, prefix_hashes, shared_dir, summed, text_bytes, unpack, with_all, written
+from .induced_sorting import IN_MEMORY, blocks, scratch, sorted_suffixes
+from .shared_files import member, put, scratch_folder
 
 LENGTH, SEED_BYTES = 100, 24
 #: Bytes of pieces that one shard is planned for, and that a task gathers before it sends them.
-SHARD_BYTES, HELD_BYTES = 4 << 20, 24 << 20
+SHARD_BYTES, HELD_BYTES = 8 << 20, 24 << 20
 #: Sorts before every doc_id.
 NO_ID = -(2**63)
 
 
-def sliding_least(h: np.ndarray, w: int) -> np.ndarray:
-    """The least of each w consecutive values, by doubling."""
-    out, have = h, 1
+def least_places(h: np.ndarray, w: int) -> np.ndarray:
+    """The place of the least of each w consecutive hashes, the leftmost of equal ones.
+
+    Whole hashes are compared, so equal windows have their minimizers at equal places
+    whatever else is in the array.
+    """
+    out, have = np.arange(len(h)), 1
     while have < w:
         step = min(have, w - have)
-        out = np.minimum(out[: len(out) - step], out[step:])
+        left, right = out[: len(out) - step], out[step:]
+        out = np.where(h[right] < h[left], right, left)
         have += step
     return out
 
 
 def pieces_of(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
-    """(row, first byte, end byte, hash) of each piece; the arrays' bytes are within `data`.
-
-    A minimizer is found by hash in the high bits and place in the low ones, so ties go
-    to the leftmost place.
-    """
+    """(row, first byte, end byte, hash) of each piece; the arrays' bytes are within `data`."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
@@ -67,10 +72,7 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
     prefix = prefix_hashes(data, False)
     count = n - seed + 1
     h = mixed((prefix[seed:] - prefix[:count]) * powers(n)[1][:count])
-    bits = np.uint64(max(1, int(count).bit_length()))
-    keyed = (h >> bits << bits) | np.arange(count, dtype=np.uint64)
-    least = sliding_least(keyed, length - seed + 1)  # by first byte of the window
-    place = (least & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    place = least_places(h, length - seed + 1)  # by first byte of the window
     windows = np.arange(n - length + 1)
     row = np.searchsorted(offsets, windows, "right") - 1
     inside = windows + length <= offsets[row + 1]
@@ -122,13 +124,8 @@ def _repeated(uri: str):
         """Keeps the hashes of a bucket that occur twice or more, as a sorted file."""
         bucket = key[0].as_py()
         parts = [unpack(x) for x in table.column("packed").to_pylist()]
-        keys = np.concatenate([p[0] for p in parts])
-        counts = np.concatenate([p[1].astype(np.int64) for p in parts])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        sums = np.add.reduceat(counts, first)
-        put(f"{uri}-{bucket}", keys[first][sums >= 2].tobytes())
+        keys, sums = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1].astype(np.int64) for p in parts]))
+        put(f"{uri}-{bucket}", keys[sums >= 2].tobytes())
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "pieces": pa.array([int(sums[sums >= 2].sum())], pa.int64())})
 
     return run
@@ -217,82 +214,155 @@ def _send_pieces(batches, uri: str, buckets: int, shards: int, length: int, seed
         yield from _send(held)
 
 
-def covered_in_shard(contents: list[bytes], places: list[tuple], length: int, limit: int = IN_MEMORY) -> list[tuple]:
-    """(doc, row hash, start, size) of what equal windows of earlier pieces cover, for distinct pieces."""
-    order = sorted(range(len(places)), key=places.__getitem__)
-    sizes = np.array([len(contents[k]) for k in order], np.int64)
-    if not len(sizes):
-        return []
-    ends = np.cumsum(sizes + 1)  # after each piece's separator
-    text = np.frombuffer(b"\0".join(contents[k] for k in order) + b"\0", np.uint8).astype(np.uint16) + np.uint16(2)
-    text[ends - 1] = 1
-    text = np.concatenate([text, np.zeros(1, np.uint16)])
+class Shard:
+    """The pieces of a shard: contents in a scratch file, and of each piece doc, row hash, first byte, size and place in the file."""
+
+    def __init__(self, length: int, limit: int):
+        self.length, self.limit = length, limit
+        self.file, self.end = tempfile.TemporaryFile(dir=scratch_folder()), 0
+        self.held, self.places = Pieces(), []
+
+    def add(self, content: bytes, place: tuple) -> None:
+        self.held.add(content, place)
+
+    def full(self) -> bool:
+        return self.held.size > 8 * self.limit
+
+    def flush(self) -> list[tuple]:
+        """Contents go to the file; gives what equal pieces cover."""
+        if self.held.earliest:
+            sizes = np.array([len(c) for c in self.held.earliest], np.int64)
+            table = np.empty((len(sizes), 5), np.int64)
+            for k in range(3):
+                table[:, k] = [x[k] for x in self.held.earliest.values()]
+            table[:, 3], table[:, 4] = sizes, self.end + np.cumsum(sizes) - sizes
+            self.places.append(table)
+            self.file.seek(self.end)
+            self.file.write(b"".join(self.held.earliest))
+            self.end += int(sizes.sum())
+        covered, self.held = self.held.covered, Pieces()
+        return covered
+
+    def marks(self):
+        """Lists of (doc, row hash, start, size): what equal pieces, and equal windows of earlier pieces, cover."""
+        yield self.flush()
+        if not self.places:
+            return
+        places = np.concatenate(self.places)
+        places = places[np.lexsort((places[:, 2], places[:, 1], places[:, 0]))]
+        sizes = places[:, 3]
+        begins = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))  # a separator after each piece
+        n = int(sizes.sum()) + len(sizes) + 1
+        raw = np.memmap(self.file, np.uint8, "r", shape=(self.end,)) if self.end else np.zeros(0, np.uint8)
+        text = scratch(n, np.uint16, self.limit)
+        for at, size, start in zip(begins.tolist(), sizes.tolist(), places[:, 4].tolist()):
+            text[at : at + size] = raw[start : start + size]
+            text[at : at + size] += 2
+            text[at + size] = 1
+        starts = covered_starts(text, begins, sizes, self.length, self.limit)
+        yield from _spans(starts, places, begins, self.length, self.limit)
+
+
+def covered_starts(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray, length: int, limit: int) -> np.ndarray:
+    """Whether each place starts a window of `length` that lies in one piece and has an equal one earlier."""
     sa, lcp = sorted_suffixes(text, length, limit)
-    piece = np.repeat(np.arange(len(sizes) + 1), np.concatenate([sizes + 1, [1]]))
-    stop = np.concatenate([ends - 1, [len(text)]])
-    valid = sa + length <= stop[piece[sa]]
-    valid &= sa < len(text) - 1
-    run = np.cumsum(lcp < length)[valid]
-    at = np.asarray(sa[valid], np.int64)
-    if not len(at):
-        return []
-    cuts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
-    first = np.minimum.reduceat(at, cuts)
-    later = at[at != np.repeat(first, np.diff(np.concatenate((cuts, [len(at)]))))]
-    change = np.zeros(len(text) + 1, np.int64)
-    np.add.at(change, later, 1)
-    np.add.at(change, later + length, -1)
-    inside = np.diff(np.concatenate(([0], (np.cumsum(change) > 0).astype(np.int8), [0])))
-    out, begins = [], ends - sizes - 1
-    for a, b in zip(np.flatnonzero(inside == 1).tolist(), np.flatnonzero(inside == -1).tolist()):
-        k = int(piece[a])
-        doc, rid, start = places[order[k]]
-        out.append((doc, rid, start + a - int(begins[k]), b - a))
+    out = scratch(len(text), bool, limit)
+    run, least, number = 0, -1, -1  # the run so far, the earliest place of run `number`, which isn't marked
+    for i, j in blocks(0, len(sa), max(1, limit // 8)):
+        at = np.asarray(sa[i:j]).astype(np.int64)
+        runs = run + np.cumsum(lcp[i:j] < length)
+        run = int(runs[-1])
+        piece = np.maximum(np.searchsorted(begins, at, "right") - 1, 0)
+        valid = at + length <= begins[piece] + sizes[piece]
+        at, runs = at[valid], runs[valid]
+        if not len(at):
+            continue
+        if number == runs[0]:  # goes on from the block before
+            at, runs = np.concatenate(([least], at)), np.concatenate(([number], runs))
+        cuts = np.flatnonzero(np.concatenate(([True], runs[1:] != runs[:-1])))
+        first = np.minimum.reduceat(at, cuts)
+        out[at[at != np.repeat(first, np.diff(np.concatenate((cuts, [len(at)]))))]] = True
+        least, number = int(first[-1]), int(runs[-1])
     return out
 
 
-def _sort_shard(length: int, limit: int):
+def _spans(starts: np.ndarray, places: np.ndarray, begins: np.ndarray, length: int, limit: int):
+    """Lists of (doc, row hash, start, size) of the bytes that marked windows cover."""
+    size = max(length, limit // 8)
+    for i, j in blocks(0, len(starts), size):
+        low = max(0, i - length + 1)
+        ahead = np.cumsum(np.concatenate(([0], starts[low:j])), dtype=np.int64)
+        at = np.arange(i, j) - low + 1
+        inside = np.diff(np.concatenate(([0], (ahead[at] > ahead[np.maximum(at - length, 0)]).astype(np.int8), [0])))
+        out = []
+        for a, b in zip((np.flatnonzero(inside == 1) + i).tolist(), (np.flatnonzero(inside == -1) + i).tolist()):
+            k = int(np.searchsorted(begins, a, "right")) - 1
+            doc, rid, start = places[k, :3].tolist()
+            out.append((doc, rid, start + a - int(begins[k]), b - a))
+        yield out
+
+
+def covered_in_shard(contents: list[bytes], places: list[tuple], length: int, limit: int = IN_MEMORY) -> list[tuple]:
+    """(doc, row hash, start, size) of what equal windows of earlier pieces cover, for distinct pieces."""
+    shard = Shard(length, limit)
+    for content, place in zip(contents, places):
+        shard.add(content, place)
+    return [m for part in shard.marks() for m in part]
+
+
+def _sort_shards(length: int, limit: int):
     schema = pa.schema([("doc", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
-    def run(key, table):
-        pieces = Pieces()
-        for value in table.column("packed").to_pylist():
-            n = int.from_bytes(value[:8], "little")
-            doc, rid, start, sizes = unpack(value[8 : 8 + n])
-            raw, at = unpack(value[8 + n :])[0].tobytes(), 0
-            for d, r, s, size in zip(doc.tolist(), rid.tolist(), start.tolist(), sizes.tolist()):
-                pieces.add(raw[at : at + size], (d, r, s))
-                at += size
-        marks = pieces.covered + covered_in_shard(list(pieces.earliest), list(pieces.earliest.values()), length, limit)
-        return pa.Table.from_batches([_mark_batch(united(marks), schema)], schema)
+    def sent(marks: list):
+        marks = united(marks)
+        for i in range(0, len(marks), 50_000):
+            yield _mark_batch(marks[i : i + 50_000], schema)
+
+    def run(batches):
+        """Over rows sorted by shard."""
+        shard, number = None, None
+        for batch in batches:
+            for key, value in zip(batch.column("shard").to_pylist(), batch.column("packed")):
+                if shard is not None and key != number:
+                    for part in shard.marks():
+                        yield from sent(part)
+                if key != number:
+                    shard, number = Shard(length, limit), key
+                value = value.as_py()
+                n = int.from_bytes(value[:8], "little")
+                doc, rid, start, sizes = unpack(value[8 : 8 + n])
+                raw, at = unpack(value[8 + n :])[0].tobytes(), 0
+                for d, r, s, size in zip(doc.tolist(), rid.tolist(), start.tolist(), sizes.tolist()):
+                    shard.add(raw[at : at + size], (d, r, s))
+                    at += size
+                    if shard.full():
+                        yield from sent(shard.flush())
+        if shard is not None:
+            for part in shard.marks():
+                yield from sent(part)
 
     return run
 
 
-def covered(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES, limit: int = IN_MEMORY) -> DataFrame:
-    """(doc, rid, spans): for documents that lose bytes, the sorted [start, stop) pieces of what they lose."""
+def covered(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES, limit: int = IN_MEMORY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(doc, rid, spans): for documents that lose bytes, the sorted [start, stop) pieces of what they lose.
+
+    At most about shard_bytes of pieces go to one shard, and of a shard's string `limit` entries are in memory.
+    """
     spark = docs.sparkSession
     buckets = buckets_for(docs)
     texts = keyed(docs).select("doc", "rid", "text")
     uri = shared_dir(spark, "seeds") + "/keys"
     counted = texts.select("text").mapInArrow(lambda b: _count_seeds(b, buckets, length, seed), PACKED)
-    found = counted.groupBy("bucket").applyInArrow(_repeated(uri), "bucket int, pieces long").agg(F.sum("pieces")).first()[0] or 0
-    for k in range(buckets):
-        _ensure(f"{uri}-{k}")
-    shards = max(buckets, -(-int(found) * (length + 40) // SHARD_BYTES))
+    found = with_all(counted, buckets).groupBy("bucket").applyInArrow(_repeated(uri), "bucket int, pieces long").agg(F.sum("pieces")).first()[0] or 0
+    shards = max(buckets, -(-int(found) * (length + 40) // shard_bytes))
     sent = written(texts.mapInArrow(lambda b: _send_pieces(b, uri, buckets, shards, length, seed), SENT), "pieces")
-    sorted_ = sent.where("shard is not null").select("shard", "packed").groupBy("shard").applyInArrow(_sort_shard(length, limit), MARKS)
+    dealt = sent.where("shard is not null").select("shard", "packed").repartition(min(shards, max(buckets, partitions(spark))), "shard").sortWithinPartitions("shard")
+    sorted_ = dealt.mapInArrow(_sort_shards(length, limit), MARKS)
     marks = sent.where("shard is null").select("doc", "rid", "start", "stop").union(sorted_)
     return marks.groupBy("doc", "rid").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
-def _ensure(uri: str) -> None:
-    from .shared_files import exists
-
-    if not exists(uri):
-        put(uri, b"")
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with text never null, and the document's key: doc and rid."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -319,12 +389,12 @@ def cleared(data: bytes, spans: list) -> tuple[bytes, int, int]:
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES, text: bool = True) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES, text: bool = True, limit: int = IN_MEMORY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256; the text is what is left of it, or dropped.
 
     Where a cut falls inside a character, its remaining bytes leave the text too.
     """
-    marks = covered(docs, length, seed).select(F.col("doc").alias("__doc"), F.col("rid").alias("__rid"), "spans")
+    marks = covered(docs, length, seed, limit, shard_bytes).select(F.col("doc").alias("__doc"), F.col("rid").alias("__rid"), "spans")
     rows = keyed(docs.select(F.struct("*").alias("row"), "doc_id", "text"))
     rows = rows.join(marks, (rows["doc"] == marks["__doc"]) & (rows["rid"] == marks["__rid"]), "left")
     kind = docs.schema
