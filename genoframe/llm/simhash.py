@@ -204,27 +204,44 @@ def _links(batches):
         yield rows(key, fp)
 
 
+#: Rows of a key from which its least value is broadcast.
+HOT = 256
+
+
+def with_least(rows: DataFrame, key: str, value: str, name: str, total: int) -> DataFrame:
+    """rows with the least `value` of their key as `name`.
+
+    Keys of HOT rows or more, and of a thousandth of all `total` rows or more, of which there
+    are a thousand at most, get it by a broadcast, so their rows are not gathered.
+    """
+    bound = max(HOT, total // 1000)
+    low = rows.groupBy(F.col(key).alias("__k")).agg(F.min(value).alias(name), F.count(F.lit(1)).alias("__n"))
+    hot = F.broadcast(low.where(F.col("__n") >= bound).select(F.col("__k").alias("__h"), F.col(name).alias("__m")))
+    marked = rows.join(hot, F.col(key) == F.col("__h"), "left")
+    columns = [F.col(c) for c in rows.columns]
+    few = marked.where("__h is null").select(*columns).join(low.where(F.col("__n") < bound), F.col(key) == F.col("__k"))
+    return marked.where("__h is not null").select(*columns, F.col("__m").alias(name)).union(few.select(*columns, name))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for links (a, b) with a < b: the smallest node each can reach, for all nodes with links.
 
     Every step writes its links to the shared folder; no node's neighbours are gathered.
     """
     links = written(links.distinct(), "links")
-    last = None
+    last, total = None, links.count()
     while True:
         both = links.union(links.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))  # m <= u < v
-        large = large.distinct()
+        least = with_least(both, "u", "v", "m", 2 * total).withColumn("m", F.least("u", "m"))
+        large = least.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()  # m <= u < v
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(low, "u")
-        small = joined.select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").union(low.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
-        links = written(small, "links")
+        small = with_least(down, "u", "v", "m", total).select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b")
+        links = written(small.union(low.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct(), "links")
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             return links.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        last = now
+        last, total = now, now[0]
 
 
 def rooted(docs: DataFrame) -> DataFrame:
@@ -239,8 +256,8 @@ def rooted(docs: DataFrame) -> DataFrame:
 
 def clustered(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for each row."""
-    rows = rooted(docs)
-    return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "fp", "component_id")
+    rows = written(rooted(docs), "roots")
+    return with_least(rows, "root", "doc_id", "component_id", rows.count()).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
