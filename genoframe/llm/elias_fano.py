@@ -8,7 +8,7 @@ _ROWS = 1 << 15
 
 
 def encode(values: np.ndarray) -> dict[str, np.ndarray]:
-    """low, high, ones (rank of each word of high) and meta (n, low bits) of a nondecreasing sequence."""
+    """low, high, ones and zeros (how many stand before each word of high) and meta (n, low bits) of a nondecreasing sequence."""
     values = values.astype(np.uint64)
     n = len(values)
     last = int(values[-1]) if n else 0
@@ -19,6 +19,8 @@ def encode(values: np.ndarray) -> dict[str, np.ndarray]:
     flags[high_part + np.arange(n)] = 1
     high = np.packbits(flags, bitorder="little").view(np.uint64)
     ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64)))
+    zeros = np.arange(len(ones), dtype=np.int64) * 64 - ones
+    kind = np.uint32 if len(high) < 2**26 else np.int64
     low = []
     if bits:
         places = np.arange(bits, dtype=np.uint64)
@@ -27,16 +29,15 @@ def encode(values: np.ndarray) -> dict[str, np.ndarray]:
             raw = np.packbits(part, bitorder="little")
             low.append(np.concatenate([raw, np.zeros(-len(raw) % 8, np.uint8)]))
     low.append(np.zeros(16, np.uint8))
-    return {"low": np.concatenate(low).view(np.uint64), "high": high, "ones": ones, "meta": np.array([n, bits], np.int64)}
+    return {"low": np.concatenate(low).view(np.uint64), "high": high, "ones": ones.astype(kind), "zeros": zeros.astype(kind), "meta": np.array([n, bits], np.int64)}
 
 
 class Monotone:
     """Access and successor search in an encoded sequence, for many positions or values at once."""
 
     def __init__(self, arrays: dict, prefix: str):
-        self.low, self.high, self.ones = (arrays[f"{prefix}_{k}"] for k in ("low", "high", "ones"))
+        self.low, self.high, self.ones, self.zeros = (arrays[f"{prefix}_{k}"] for k in ("low", "high", "ones", "zeros"))
         self.n, self.bits = map(int, arrays[f"{prefix}_meta"])
-        self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
         self.buckets = len(self.high) * 64 - self.n
 
     def _inside(self, words: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -52,7 +53,7 @@ class Monotone:
         return place
 
     def _select(self, ranks: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
-        w = np.searchsorted(ranks, k, "right") - 1
+        w = np.searchsorted(ranks, k.astype(ranks.dtype), "right") - 1
         words = self.high[w]
         return w * 64 + self._inside(~words if flip else words, k - ranks[w])
 
