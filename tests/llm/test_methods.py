@@ -77,7 +77,7 @@ def test_mixing_limits(spark):
     assert got["c"] == 30 and abs(got["a"] - 1980 / 3) < 1e-6 and abs(got["b"] - 2 * 1980 / 3) < 1e-6
 
 
-@pytest.mark.parametrize("limit, small", [(10**6, 10**6), (5, 3)])
+@pytest.mark.parametrize("limit, small", [(10**6, 10**6), (5, 3), (17, 0), (64, 2)])
 def test_induced_sorting(limit, small):
     """Against sorting the suffixes themselves; the small limits spill and recurse."""
     rng = np.random.default_rng(1)
@@ -96,10 +96,15 @@ def test_induced_sorting(limit, small):
 
 
 def test_queue_keeps_order_through_spills():
-    q = BucketQueue(4)
-    for i in range(10):
-        q.put(i % 2, np.array([i, i + 100]), np.array([i, i], np.int16))
-    assert q.block(0, np.int64)[0].tolist() == [x for i in range(0, 10, 2) for x in (i, i + 100)]
+    for top in (2, 2000):  # characters of one range, and of several
+        q, high = BucketQueue(4, top), top - 1
+        for i in range(10):
+            q.put(np.array([high * (i % 2)] * 2), np.array([i, i + 100]), np.array([i, i], np.int16))
+        for char, start in ((0, 0), (high, 1)):
+            got = []
+            while part := q.take(char, 3):
+                got += part[0].tolist()
+            assert got == [x for i in range(start, 10, 2) for x in (i, i + 100)]
 
 
 def test_suffix_dedup(spark, texts):
@@ -117,8 +122,51 @@ def test_suffix_dedup(spark, texts):
 def test_shard_larger_than_its_memory(texts):
     pieces = sorted({t.encode()[:300] for t in list(texts.values())[:60]})
     places = [(i, 0, 0) for i in range(len(pieces))]
-    whole = suffix_dedup.covered_in_shard(pieces, places, 20)
-    assert sorted(whole) == sorted(suffix_dedup.covered_in_shard(pieces, places, 20, limit=500)) and whole
+    whole = suffix_dedup.united(suffix_dedup.covered_in_shard(pieces, places, 20))
+    assert whole == suffix_dedup.united(suffix_dedup.covered_in_shard(pieces, places, 20, limit=500)) and whole
+
+
+def test_one_shard_of_ten_times_its_memory(spark, tmp_path):
+    """Through Spark: one shard, ten times and more what may be in memory, with recursion and spills; peak memory is measured."""
+    rng = random.Random(4)
+    passages_ = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(150, 400))) for _ in range(60)]
+    own = {i: "".join(rng.choice("abcdefgh ") for _ in range(50)).join(rng.sample(passages_, 6)) for i in range(150)}
+    df = spark.createDataFrame(list(own.items()), "doc_id long, text string").repartition(3)
+    seen = spark.sparkContext.accumulator(0)
+    run = suffix_dedup._sort_shards
+
+    def measured(length, limit):
+        inner = run(length, limit)
+
+        def outer(batches):
+            import tracemalloc
+
+            tracemalloc.start()
+            for batch in inner(batches):
+                seen.add(batch.num_rows)
+                yield batch
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            if peak > 40 << 20:
+                raise MemoryError(f"{peak} bytes for a limit of {limit} entries")
+
+        return outer
+
+    suffix_dedup._sort_shards = measured
+    try:
+        rows = suffix_dedup.deduplicated(df, text=False, limit=15_000, shard_bytes=1 << 40).collect()
+    finally:
+        suffix_dedup._sort_shards = run
+    assert sum(len(t) for t in own.values()) > 10 * 15_000
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == suffix_dedup.plain(own)
+
+
+def test_minimizers_do_not_depend_on_the_chunk():
+    """Ties and all: the first window of a text has one minimizer, whatever comes after."""
+    rng = np.random.default_rng(12)
+    h = rng.integers(0, 3, 5000).astype(np.uint64)
+    assert (suffix_dedup.least_places(h, 77)[:100] == suffix_dedup.least_places(h[:400], 77)[:100]).all()
+    assert suffix_dedup.least_places(h, 77).tolist() == [i + int(h[i : i + 77].argmin()) for i in range(len(h) - 76)]
 
 
 def test_packing():
@@ -152,7 +200,7 @@ def test_language_model(spark, docs, texts):
     split = lambda t: [w.translate({c: c + 32 for c in range(65, 91)}) for w in words(t)] + [None]
     own = [split(texts[d]) for d in training]
     c = [Counter(tuple(s[i : i + n]) for s in own for i in range(len(s) - n + 1)) for n in (1, 2, 3)]
-    kept = [c[0], *[{g: n for g, n in x.items() if n >= 2} for x in c[1:]]]
+    kept = c
     used = [Counter(), Counter(), Counter()]
     for n in (1, 2):
         for g, k in kept[n].items():
