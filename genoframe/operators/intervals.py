@@ -40,34 +40,50 @@ def overlap_pairs(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
     return out.select(F.col("l_contig").alias("contig"), F.col("l_start").alias("ls"), F.col("l_end").alias("le"), F.col("r_start").alias("rs"), F.col("r_end").alias("re"), bases.alias("bases"))
 
 
-def overlap_counts(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
-    """left with the number of right intervals that each overlaps, and the bases of all overlaps.
+def _distinct(df: DataFrame) -> DataFrame:
+    """(contig, start, end, n): equal intervals are one row. They are their own key: no generated id is joined on."""
+    return df.groupBy("contig", "start", "end").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _counted(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
+    """(left, contig, start, end, n, pairs, bases) of the distinct intervals of both sides.
 
-    No pair is made. With S(x) the right starts below x and E(x) the right ends up to x,
-    an interval overlaps S(end) - E(start) others; the bases up to x are running sums too.
+    No pair is made. With S(x) the other side's starts below x and E(x) its ends up to x, an
+    interval overlaps S(end) - E(start) others; the bases up to x are running sums too. One
+    pass over the starts and ends of both sides, ends first at each place, has all of them.
     """
-    lefts = left.withColumn("__id", F.monotonically_increasing_id())
-    marks = right.select("contig", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(2).alias("kind")), F.struct(F.col("end").alias("at"), F.lit(0).alias("kind")))).alias("m"))
-    marks = marks.select("contig", "m.at", "m.kind", F.lit(None).cast("long").alias("__id"), F.lit(None).cast("boolean").alias("__end"))
-    asks = lefts.select("contig", "__id", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(False).alias("e")), F.struct(F.col("end").alias("at"), F.lit(True).alias("e")))).alias("m"))
-    asks = asks.select("contig", "m.at", F.lit(1).alias("kind"), "__id", F.col("m.e").alias("__end"))
-    rows = marks.unionByName(asks).withColumn("bin", _bin(F.col("at"), width))
-    start, end = F.col("kind") == 2, F.col("kind") == 0
-    sums = {"s0": ("sum", F.when(start, 1).otherwise(0)), "s1": ("sum", F.when(start, F.col("at")).otherwise(0)), "e0": ("sum", F.when(end, 1).otherwise(0)), "e1": ("sum", F.when(end, F.col("at")).otherwise(0))}
-    rows = running(rows, ["contig"], "bin", [F.col("at"), F.col("kind")], sums).where("kind = 1")
-    covered = F.col("s0") * F.col("at") - F.col("s1") - F.col("e0") * F.col("at") + F.col("e1")
-    sign = F.when(F.col("__end"), 1).otherwise(-1)
-    found = rows.groupBy("__id").agg(F.sum(F.when(F.col("__end"), F.col("s0")).otherwise(-F.col("e0"))).alias("pairs"), F.sum(sign * covered).alias("bases"))
-    return lefts.join(found, "__id").drop("__id")
+    both = _distinct(left).withColumn("left", F.lit(True)).unionByName(_distinct(right).withColumn("left", F.lit(False)))
+    marks = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("kind")), F.struct(F.col("end").alias("at"), F.lit(0).alias("kind")))
+    rows = both.withColumn("m", F.explode(marks)).select("*", F.col("m.at").alias("at"), F.col("m.kind").alias("kind")).drop("m").withColumn("bin", _bin(F.col("at"), width))
+    sums = {}
+    for side, own in (("l", F.col("left")), ("r", ~F.col("left"))):
+        for kind, name in ((1, "s"), (0, "e")):
+            here = own & (F.col("kind") == kind)
+            sums |= {f"{side}{name}0": ("sum", F.when(here, F.col("n")).otherwise(0)), f"{side}{name}1": ("sum", F.when(here, F.col("n") * F.col("at")).otherwise(0))}
+    rows = running(rows, ["contig"], "bin", [F.col("at"), F.col("kind")], sums)
+    other = lambda c: F.when(F.col("left"), F.col(f"r{c}")).otherwise(F.col(f"l{c}"))
+    covered = other("s0") * F.col("at") - other("s1") - other("e0") * F.col("at") + other("e1")
+    end = F.col("kind") == 0
+    return rows.groupBy("left", "contig", "start", "end", "n").agg(
+        F.sum(F.when(end, other("s0")).otherwise(-other("e0"))).alias("pairs"), F.sum(F.when(end, covered).otherwise(-covered)).alias("bases"),
+    )
+
+
+def overlap_counts(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
+    """left with the number of right intervals that each overlaps, and the bases of all overlaps."""
+    found = _counted(left, right, width).where("left").select("contig", "start", "end", "pairs", "bases")
+    return left.join(found, ["contig", "start", "end"])
 
 
 def intersect_by_contig(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
     """Per contig: intervals of each side, pairs, intervals with a partner, and overlapping bases (a base counts once for each pair)."""
-    a = overlap_counts(left, right, width).groupBy("contig").agg(F.count(F.lit(1)).alias("left_n"), F.sum("pairs").alias("pairs"), F.count_if(F.col("pairs") > 0).alias("left_hit"), F.sum("bases").alias("bases"))
-    b = overlap_counts(right, left, width).groupBy("contig").agg(F.count(F.lit(1)).alias("right_n"), F.count_if(F.col("pairs") > 0).alias("right_hit"))
-    out = a.join(b, "contig", "full_outer")
-    zero = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("left_n", "right_n", "pairs", "left_hit", "right_hit", "bases")]
-    return out.select("contig", *zero)
+    rows = _counted(left, right, width)
+    of = lambda rule, value: F.coalesce(F.sum(F.when(rule, value)), F.lit(0)).cast("long")
+    own, hit = F.col("left"), F.col("pairs") > 0
+    return rows.groupBy("contig").agg(
+        of(own, F.col("n")).alias("left_n"), of(~own, F.col("n")).alias("right_n"), of(own, F.col("n") * F.col("pairs")).alias("pairs"),
+        of(own & hit, F.col("n")).alias("left_hit"), of(~own & hit, F.col("n")).alias("right_hit"), of(own, F.col("n") * F.col("bases")).alias("bases"),
+    )
 
 
 def intersect_total(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
@@ -98,14 +114,16 @@ def subtract(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
 
     Left intervals are not merged first; right ones are.
     """
-    lefts = left.select("contig", "start", "end").withColumn("id", F.monotonically_increasing_id())
+    lefts = _distinct(left)
     cuts = range_join(lefts, merge(right, 0, width).select("contig", "start", "end"), width)
-    cuts = cuts.select(F.col("l_contig").alias("contig"), F.col("l_id").alias("id"), F.col("l_start").alias("ls"), F.col("l_end").alias("le"), F.col("r_start").alias("rs"), F.col("r_end").alias("re"))
-    w = Window.partitionBy("id").orderBy("rs")
+    cuts = cuts.select(F.col("l_contig").alias("contig"), F.col("l_n").alias("n"), F.col("l_start").alias("ls"), F.col("l_end").alias("le"), F.col("r_start").alias("rs"), F.col("r_end").alias("re"))
+    w = Window.partitionBy("contig", "ls", "le").orderBy("rs")
     cuts = cuts.withColumn("before", F.coalesce(F.lag("re").over(w), F.col("ls"))).withColumn("last", F.lead("rs").over(w).isNull())
     pieces = F.array(F.struct(F.col("before").alias("start"), F.col("rs").alias("end")), F.when(F.col("last"), F.struct(F.col("re").alias("start"), F.col("le").alias("end"))))
-    kept = cuts.select("contig", F.explode(F.filter(pieces, lambda p: p.isNotNull() & (p["start"] < p["end"]))).alias("p")).select("contig", "p.start", "p.end")
-    return lefts.join(cuts.select("id").distinct(), "id", "left_anti").select("contig", "start", "end").unionByName(kept)
+    kept = cuts.select("contig", "n", F.explode(F.filter(pieces, lambda p: p.isNotNull() & (p["start"] < p["end"]))).alias("p")).select("contig", "p.start", "p.end", "n")
+    hit = cuts.select("contig", F.col("ls").alias("start"), F.col("le").alias("end")).distinct()
+    rows = lefts.join(hit, ["contig", "start", "end"], "left_anti").select("contig", "start", "end", "n").unionByName(kept)
+    return rows.select("contig", "start", "end", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("__k")).drop("__k")
 
 
 def closest(queries: DataFrame, targets: DataFrame, width: int = BIN) -> DataFrame:
