@@ -76,7 +76,7 @@ capability("sequence.to-table.v1", "fasta")(lambda s, i, p: sequences.to_table(_
 capability("sequence.from-table.v1", "table", "id_column sequence_column description_column", records.write_fasta)(lambda s, i, p: sequences.from_table(readers.table(s, i["table"]), p.get("id_column", "id"), p.get("sequence_column", "sequence"), p.get("description_column")))
 capability("sequence.kmer.count.v1", "fasta", "k canonical top_n")(lambda s, i, p: sequences.kmer_top(_fa(s, i["fasta"]), p.get("k", 21), p.get("canonical", False), p.get("top_n", 50)))
 capability("sequence.consensus.v1", "fasta", "threshold")(lambda s, i, p: sequences.consensus(_fa(s, i["fasta"]), p.get("threshold", 0.5)))
-capability("sequence.shuffle.v1", "fasta", "seed", records.write_fasta)(lambda s, i, p: sequences.shuffled(_fa(s, i["fasta"]), p.get("seed", 42)))
+capability("sequence.shuffle.v1", "fasta", "seed", records.write_fasta)(lambda s, i, p: sequences.shuffled(_fa(s, i["fasta"]), p.get("seed", 42)).orderBy("place").drop("place"))
 capability("sequence.reverse-complement.v1", "fasta", write=records.write_fasta)(lambda s, i, p: sequences.reverse_complements(_fa(s, i["fasta"])).withColumnRenamed("revcomp", "seq"))
 capability("comparative.dotplot.v1", "query reference", "kmer")(lambda s, i, p: sequences.dotplot(_fa(s, i["query"]), _fa(s, i["reference"]), p.get("kmer", 12)))
 

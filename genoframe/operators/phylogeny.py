@@ -4,29 +4,60 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def distances(aligned: DataFrame, model: str = "p-distance") -> DataFrame:
-    """(a, b, distance) of all ordered pairs; p-distance, jc69 or k80 (k2p).
+#: Sequences that are compared with others together.
+TOGETHER = 128
 
-    Columns with two gaps are skipped; a base against a gap differs, and is neither
-    transition nor transversion. A saturated correction is infinity. The result has a row
-    for each pair, so the pairs are the work.
+
+def _kinds(batches):
+    """For rows (b, x) beside a block of (a, y) queries: compared, different, transitions and transversions of each pair."""
+    purine, pyrimidine = np.isin(np.arange(256), [65, 71]), np.isin(np.arange(256), [67, 84])
+    for batch in batches:
+        out = [[] for _ in range(6)]
+        for b, x, block in zip(batch.column("b").to_pylist(), batch.column("x").to_pylist(), batch.column("block").to_pylist()):
+            p = np.frombuffer(x.encode(), np.uint8)
+            for item in block:
+                q = np.frombuffer(item["y"].encode(), np.uint8)
+                n = max(len(p), len(q))
+                u, v = (np.concatenate([z, np.full(n - len(z), 45, np.uint8)]) if len(z) < n else z for z in (p, q))
+                gaps = int(((u == 45) & (v == 45)).sum())
+                differ = u != v
+                base = differ & (u != 45) & (v != 45)
+                ts = int((base & ((purine[u] & purine[v]) | (pyrimidine[u] & pyrimidine[v]))).sum())
+                for o, z in zip(out, (item["a"], b, n - gaps, int(differ.sum()), ts, int(base.sum()) - ts)):
+                    o.append(z)
+        names = ("a", "b", "compared", "different", "ts", "tv")
+        kinds = [batch.schema.field("block").type.value_type.field("a").type, batch.schema.field("b").type, *[pa.int64()] * 4]
+        yield pa.record_batch({n: pa.array(o, t) for n, o, t in zip(names, out, kinds)})
+
+
+def distances(aligned: DataFrame, model: str = "p-distance", queries: DataFrame | None = None, together: int = TOGETHER) -> DataFrame:
+    """(a, b, distance) of all pairs of a query and an aligned sequence; p-distance, jc69 or k80 (k2p).
+
+    Without queries, all are queries and the result has a row for each ordered pair, so the
+    pairs are the work. Columns with two gaps are skipped, as are those beyond both ends; a
+    base against a gap differs, and is neither transition nor transversion. A saturated
+    correction is infinity. Queries are compared in blocks: each sequence meets each block
+    once, and a block has `together` sequences.
     """
     model = "k80" if model == "k2p" else model
     if model not in ("p-distance", "jc69", "k80"):
         raise ValueError(f"unknown model {model}")
-    chars = F.filter(F.split(F.upper("seq"), ""), lambda c: c != "")
-    rows = aligned.select("id", chars.alias("s"))
-    pairs = rows.toDF("a", "x").join(rows.toDF("b", "y"))
-    kind = F.zip_with("x", "y", lambda p, q: F.when((p == "-") & (q == "-"), 0).when(p == q, 1).when((p == "-") | (q == "-"), 2).when(F.concat(p, q).isin("AG", "GA", "CT", "TC"), 3).otherwise(4))
-    pairs = pairs.select("a", "b", kind.alias("k"))
-    n = lambda *of: F.size(F.filter("k", lambda v: v.isin(*of)))
-    compared = n(1, 2, 3, 4)
-    part = lambda *of: F.coalesce(F.try_divide(n(*of), compared), F.lit(0.0))
-    p, ts, tv = part(2, 3, 4), part(3), part(4)
+    ids = (aligned if queries is None else queries).select(F.col("id").alias("a"), F.upper("seq").alias("x"))
+    n = max(1, -(-ids.count() // together))
+    part = F.pmod(F.xxhash64("a", "x"), F.lit(n))
+    block = ids.groupBy(part.alias("part")).agg(F.collect_list(F.struct("a", F.col("x").alias("y"))).alias("block"))  # `together` sequences or so
+    rows = aligned.select(F.col("id").alias("b"), F.upper("seq").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("part"))
+    kind = aligned.schema["id"].dataType.simpleString()
+    other = ids.schema["a"].dataType.simpleString()
+    pairs = rows.join(block, "part").select("b", "x", "block").mapInArrow(_kinds, f"a {other}, b {kind}, compared long, different long, ts long, tv long")
+    share = lambda c: F.coalesce(F.try_divide(c, F.col("compared")), F.lit(0.0))
+    p, ts, tv = share(F.col("different")), share(F.col("ts")), share(F.col("tv"))
     infinite = F.lit(float("inf"))
     if model == "jc69":
         d = F.when(p >= 0.75, infinite).otherwise(-0.75 * F.ln(1 - F.lit(4.0) / 3 * p))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import count_of
+from .intervals import BIN
+from .prefix import running
 
 ADAPTER = "AGATCGGAAGAGC"
 #: Bits of the alignment FLAG, fixed values.
@@ -95,7 +97,7 @@ def subsampled(reads: DataFrame, n: int | None = None, fraction: float | None =
     """Exactly n reads (or the rounded-up fraction, 1 at least), fixed by the seed."""
     if n is None:
         n = max(1, -int(-reads.count() * fraction // 1))
-    return reads.orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id").limit(n)
+    return reads.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(n)
 
 
 def alignment_qc(records: DataFrame) -> DataFrame:
@@ -119,6 +121,7 @@ def coverage(records: DataFrame) -> DataFrame:
     """(contig, start, end, depth): runs of equal depth of (contig, start, end) alignments, 0-based half-open."""
     events = records.select("contig", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("e"))
     steps = events.groupBy("contig", F.col("e.at").alias("start")).agg(F.sum("e.d").alias("d")).where("d <> 0")
-    w = Window.partitionBy("contig").orderBy("start")
-    rows = steps.select("contig", "start", F.lead("start").over(w).alias("end"), F.sum("d").over(w).alias("depth"))
-    return rows.where("depth > 0")
+    steps = steps.withColumn("__bin", F.floor(F.col("start") / BIN))
+    rows = running(steps, ["contig"], "__bin", [F.col("start")], {"depth": ("sum", F.col("d"))}, inclusive=True)
+    rows = running(rows, ["contig"], "__bin", [F.desc("start")], {"end": ("min", F.col("start"))}, backward=True)
+    return rows.where("depth > 0").select("contig", "start", "end", "depth")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import CODONS, canonical_kmer, count_of, gc_percent, kmers, n_percent, reverse_complement, translate_frame
+from ..functions.sequence import canonical_kmer, count_of, gc_percent, kmers, n_percent, reverse_complement, translate_frame
 from .prefix import running
 
 
@@ -83,41 +82,30 @@ def translated(seqs: DataFrame, frames=(1,), **how) -> DataFrame:
     return seqs.select("id", F.explode(made).alias("p")).select("id", "p.frame", "p.protein")
 
 
-def _orfs_of(seq: str, min_aa: int, reverse: bool, partial: bool) -> list[tuple]:
-    out, n = [], len(seq)
-    dna = seq.upper().replace("U", "T")
-    for strand, s in (("+", dna), ("-", dna[::-1].translate(str.maketrans("ACGT", "TGCA")))):
-        if strand == "-" and not reverse:
-            break
-        for frame in range(3):
-            begin, at = None, frame
-            for at in range(frame, n - 2, 3):
-                codon = s[at : at + 3]
-                if begin is None:
-                    begin = at if codon == "ATG" else None
-                elif CODONS.get(codon) == "*":
-                    if (at - begin) // 3 >= min_aa:
-                        out.append((begin, at + 3, strand, frame, True))
-                    begin = None
-            end = frame + (n - frame) // 3 * 3
-            if partial and begin is not None and (end - begin) // 3 >= min_aa:
-                out.append((begin, end, strand, frame, False))
-    placed = [((b + 1, e) if st == "+" else (n - e + 1, n - b)) + (st, fr + 1, done, (e - b) // 3 - done) for b, e, st, fr, done in out]
-    return sorted(placed, key=lambda x: x[:4])
-
-
-ORFS = "id long, start long, end long, strand string, frame int, complete boolean, aa_length long"
-
-
 def orfs(seqs: DataFrame, min_aa: int = 30, reverse: bool = True, partial: bool = False) -> DataFrame:
-    """Open reading frames, first ATG to the next stop in each frame; 1-based closed places on the + strand."""
+    """(id, start, end, strand, frame, complete, aa_length): first ATG to the next stop in each frame; 1-based closed places on the + strand.
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(i, *o) for i, s in zip(pdf["id"], pdf["seq"]) for o in _orfs_of(s or "", min_aa, reverse, partial)]
-            yield pd.DataFrame(rows, columns=["id", "start", "end", "strand", "frame", "complete", "aa_length"])
-
-    return seqs.select("id", "seq").mapInPandas(run, ORFS)
+    In a frame's protein a reading frame is a piece between stops, from its first M on; the
+    pieces' places are running sums of their lengths.
+    """
+    frames = (1, 2, 3, -1, -2, -3) if reverse else (1, 2, 3)
+    rows = seqs.select("id", F.length("seq").alias("n"), F.monotonically_increasing_id().alias("row"), "seq")
+    made = F.array(*[F.struct(F.lit(f).alias("frame"), translate_frame(F.col("seq"), f).alias("p")) for f in frames])
+    rows = rows.select("id", "n", "row", F.explode(made).alias("f")).select("id", "n", "row", "f.frame", F.split("f.p", r"\*").alias("pieces"))
+    rows = rows.select("id", "n", "row", "frame", F.size("pieces").alias("k"), F.posexplode("pieces").alias("i", "piece"))
+    before = Window.partitionBy("row", "frame").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum(F.length("piece") + 1).over(before), F.lit(0))).where(F.col("piece").contains("M"))
+    complete, m = F.col("i") < F.col("k") - 1, F.instr("piece", "M") - 1
+    aa = F.length("piece") - m
+    offset = F.abs("frame") - 1
+    begin = offset + 3 * (F.col("at") + m)
+    end = offset + 3 * (F.col("at") + F.length("piece") + F.when(complete, 1).otherwise(0))
+    kept = (aa >= min_aa) & (complete if not partial else F.lit(True))
+    plus = F.col("frame") > 0
+    return rows.where(kept).select(
+        "id", F.when(plus, begin + 1).otherwise(F.col("n") - end + 1).cast("long").alias("start"), F.when(plus, end).otherwise(F.col("n") - begin).cast("long").alias("end"),
+        F.when(plus, "+").otherwise("-").alias("strand"), F.abs("frame").cast("int").alias("frame"), complete.alias("complete"), aa.cast("long").alias("aa_length"),
+    )
 
 
 def numbered(df: DataFrame, order: list, blocks: int = 4096) -> DataFrame:
@@ -197,6 +185,10 @@ def consensus(aligned: DataFrame, threshold: float = 0.5) -> DataFrame:
     return best.crossJoin(total).select((F.col("i") + 1).cast("long").alias("pos"), F.when(F.coalesce(F.col("best.c"), F.lit(0)) >= need, F.col("best.base")).otherwise("N").alias("base"))
 
 
+#: Primer pairs of one search.
+MOST_PRIMERS = 10_000
+
+
 def epcr(seqs: DataFrame, primers: DataFrame, min_amplicon: int, max_amplicon: int) -> DataFrame:
     """(primer, id, start, end, length): a forward hit and a later hit of the reverse primer's complement within the size limits; hits may overlap."""
 
@@ -211,6 +203,8 @@ def epcr(seqs: DataFrame, primers: DataFrame, min_amplicon: int, max_amplicon: i
         hits = F.when(at == 1, starts).otherwise(F.filter(starts, lambda x: x > 1))
         return rows.select("primer", "id", F.explode(F.array_distinct(hits)).alias(name), F.length(primer).alias(f"{name}_len"))
 
+    if primers.limit(MOST_PRIMERS + 1).count() > MOST_PRIMERS:
+        raise ValueError(f"more than {MOST_PRIMERS} primer pairs: they are sent to all executors")
     primers = primers.select("primer", F.upper("forward").alias("forward"), reverse_complement(F.col("reverse")).alias("reverse"))
     seqs = seqs.select("id", F.upper("seq").alias("seq"))
     f, r = places("forward", "start"), places("reverse", "rev")
@@ -230,5 +224,7 @@ def dotplot(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
 
 
 def shuffled(seqs: DataFrame, seed: int = 42) -> DataFrame:
-    """Records in an order fixed by the seed."""
-    return seqs.orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id")
+    """Records with their place (from 1) in an order fixed by the seed; ids are dealt evenly to bins by the first digits of their digest, so no task sees all."""
+    rows = seqs.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))).withColumn("__k", F.lit(0)).withColumn("__b", F.conv(F.substring("__h", 1, 3), 16, 10).cast("long"))
+    out = running(rows, ["__k"], "__b", [F.col("__h"), F.col("id")], {"place": ("sum", F.lit(1))}, inclusive=True)
+    return out.withColumn("place", F.col("place").cast("long")).drop("__h", "__k", "__b")

@@ -104,37 +104,55 @@ def compared(left: DataFrame, right: DataFrame) -> DataFrame:
     return rows.select("chrom", "pos", "ref", "alt", F.when(F.col("l").isNull(), "right-only").when(F.col("r").isNull(), "left-only").otherwise("shared").alias("status"))
 
 
-def normalized(variants: DataFrame, references: DataFrame) -> DataFrame:
-    """Left-aligned, trimmed records with one ALT; references has (chrom, seq), REF must equal it.
+#: Bases of reference beside a variant: its own block of this size and the one before.
+BLOCK = 4096
+
+
+def _left_aligned(batches):
+    """Over (chrom, pos, ref, alt, first, last, window): window holds the reference from base `first` on, to its end if last.
 
-    Rows of one contig are looked at against its sequence in batches; references are joined, not collected.
+    done is false where the alignment reached the window's first base, but not the contig's.
     """
+    for pdf in batches:
+        out = []
+        for chrom, pos, ref, alt, first, last, window in zip(*(pdf[c] for c in ("chrom", "pos", "ref", "alt", "first", "last", "window"))):
+            r, a, p = ref.upper(), alt.upper(), int(pos)
+            at = p - int(first)
+            own = window[at : at + len(r)].upper()
+            if own != r[: len(own)] or (len(own) < len(r) and last):
+                raise ValueError(f"REF differs from the reference at {chrom}:{p}")
+            while len(r) > 1 and len(a) > 1 and r[-1] == a[-1]:
+                r, a = r[:-1], a[:-1]
+            while len(r) > 1 and len(a) > 1 and r[0] == a[0]:
+                r, a, p = r[1:], a[1:], p + 1
+            done = True
+            while len(r) != len(a) and p > 1 and r[0] == a[0] and min(len(r), len(a)) == 1 and max(r, a, key=len)[-1] == r[0]:
+                if p - 1 < int(first):
+                    done = False
+                    break
+                before = window[p - 1 - int(first)].upper()
+                longer = before + max(r, a, key=len)[:-1]
+                r, a, p = (longer, before, p - 1) if len(r) > len(a) else (before, longer, p - 1)
+            out.append((chrom, p, r, a, done))
+        yield pd.DataFrame(out, columns=["chrom", "pos", "ref", "alt", "done"])
+
+
+def normalized(variants: DataFrame, references: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Left-aligned, trimmed records with one ALT; references has (chrom, seq), REF must equal it.
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for chrom, pos, ref, alt, seq in zip(pdf["chrom"], pdf["pos"], pdf["ref"], pdf["alt"], pdf["seq"]):
-                r, a, p = ref.upper(), alt.upper(), int(pos)
-                if seq[p - 1 : p - 1 + len(r)].upper() != r:
-                    raise ValueError(f"REF differs from the reference at {chrom}:{p}")
-                while len(r) > 1 and len(a) > 1 and r[-1] == a[-1]:
-                    r, a = r[:-1], a[:-1]
-                while len(r) > 1 and len(a) > 1 and r[0] == a[0]:
-                    r, a, p = r[1:], a[1:], p + 1
-                while len(r) != len(a) and p > 1 and r[0] == a[0] and min(len(r), len(a)) == 1:
-                    longer = r if len(r) > len(a) else a
-                    before = seq[p - 2].upper()
-                    if longer[-1] != longer[0] and longer[-1] != r[0]:
-                        break
-                    if longer[-1] != seq[p - 1].upper():
-                        break
-                    rolled = before + longer[:-1]
-                    r, a, p = (rolled, before, p - 1) if len(r) > len(a) else (before, rolled, p - 1)
-                out.append((chrom, p, r, a))
-            yield pd.DataFrame(out, columns=["chrom", "pos", "ref", "alt"])
-
-    rows = variants.where(~F.col("alt").contains(",")).join(references, "chrom").select("chrom", "pos", "ref", "alt", "seq")
-    return rows.mapInPandas(run, "chrom string, pos long, ref string, alt string")
+    References are cut into blocks, and a variant meets its own block with the one before and
+    the one after, not its contig. The few that could move beyond that, in a repeat of more
+    than a block, go on against the whole contig.
+    """
+    kind = "chrom string, pos long, ref string, alt string, done boolean"
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / block).cast("int")), lambda i: F.struct(i.cast("long").alias("block"), F.substring(F.col("seq"), F.greatest((i - 1) * block, F.lit(0)) + 1, F.when(i == 0, 2 * block).otherwise(3 * block)).alias("window")))
+    blocks = references.where(F.length("seq") > 0).select("chrom", F.length("seq").alias("size"), F.explode(pieces).alias("b")).select("chrom", "size", "b.block", "b.window")
+    first = F.greatest((F.col("block") - 1) * block, F.lit(0)) + 1
+    rows = variants.where(~F.col("alt").contains(",")).select("chrom", F.col("pos").cast("long").alias("pos"), "ref", "alt", F.floor((F.col("pos") - 1) / block).alias("block"))
+    rows = rows.join(blocks, ["chrom", "block"]).withColumn("first", first).withColumn("last", F.col("first") + F.length("window") > F.col("size"))
+    once = rows.select("chrom", "pos", "ref", "alt", "first", "last", "window").mapInPandas(_left_aligned, kind)
+    far = once.where("NOT done").join(references, "chrom").select("chrom", "pos", "ref", "alt", F.lit(1).cast("long").alias("first"), F.lit(True).alias("last"), F.col("seq").alias("window"))
+    return once.where("done").union(far.mapInPandas(_left_aligned, kind)).drop("done")
 
 
 def pgx_rules(spark) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions.statistics import bh_adjusted
 from ..operators import ecology, enrichment, phylogeny, proteins, similarity, structures, survival
 from .catalog import query
 from .sequences import _frame_sql
-from .views import alignment, associations, atoms, features, hits, seqs, sql, table
+from .views import associations, atoms, features, hits, seqs, sql, table
 
 
 @query("blast_summary", sql("fwd", "SELECT count(*) AS hits, count(DISTINCT query) AS queries, count(DISTINCT subject) AS subjects, min(evalue) AS min_evalue, max(bits) AS max_bits, round(avg(identity), 6) AS mean_identity FROM fwd"))
@@ -84,7 +84,12 @@ def gsea_es(spark, d):
     return enrichment.enrichment_scores(*_ranked(spark, d)).select("term_id", "size", F.round("es", 6).alias("es"))
 
 
-@query("gsea_leading_edge")
+@query("gsea_leading_edge", """WITH s AS (SELECT l_partkey::VARCHAR AS gene_id, (sum(l_quantity)::BIGINT % 997 - 498)::DOUBLE AS score FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, gene_id) AS rank, abs(score) / max(abs(score)) OVER () AS w, count(*) OVER () AS n FROM s),
+h AS (SELECT p_brand || '/' || p_size % 2 AS term_id, r.* FROM part JOIN r ON p_partkey::VARCHAR = gene_id), z AS (SELECT term_id, count(*) AS size, sum(w) AS sw FROM h GROUP BY 1 HAVING count(*) BETWEEN 15 AND 500),
+u AS (SELECT h.*, size, w / sw AS share, sum(w / sw) OVER o AS up, row_number() OVER o AS j FROM h JOIN z ON h.term_id = z.term_id WINDOW o AS (PARTITION BY h.term_id ORDER BY rank ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT *, up - (rank - j) / greatest(n - size, 1)::DOUBLE AS after_, up - share - (rank - j) / greatest(n - size, 1)::DOUBLE AS before_ FROM u),
+m AS (SELECT term_id, max(after_) AS hi, min(before_) AS lo, arg_max(rank, after_) AS hi_rank, arg_min(rank - 1, before_) AS lo_rank FROM e GROUP BY 1)
+SELECT e.term_id, gene_id FROM e JOIN m ON e.term_id = m.term_id WHERE CASE WHEN abs(hi) + 64 * 2.220446049250313e-16 >= abs(lo) THEN rank <= hi_rank ELSE rank > lo_rank END""")
 def gsea_leading(spark, d):
     return enrichment.leading_edge(*_ranked(spark, d))
 
@@ -95,7 +100,7 @@ def gsea_p(spark, d):
 
 
 def _proteins(spark, d):
-    s = seqs(spark, d).distinct().select("id", F.substring("seq", 1, 600).alias("seq"))
+    s = seqs(spark, d).distinct()
     p = F.replace(translate_frame(F.col("seq"), 1), F.lit("*"), F.lit(""))
     return s.select("id", F.when(F.col("id") % 4 != 0, F.replace(p, F.lit("X"), F.lit(""))).otherwise(p).alias("seq"))
 
@@ -107,9 +112,13 @@ def _n(a: str) -> str:
 _MASS_SQL, _HYDRO_SQL = (" + ".join(["0.0::DOUBLE", *[f"{_n(a)} * {v!r}::DOUBLE" for a, v in t.items()]]) for t in (proteins.MASS, proteins.HYDROPATHY))
 
 
+_PROTEIN_SQL = f"""one AS (SELECT DISTINCT id, seq FROM seqs), tr AS ({_frame_sql(1).replace('FROM seqs', 'FROM one')}),
+p AS (SELECT id, CASE WHEN id % 4 <> 0 THEN replace(replace(protein, '*', ''), 'X', '') ELSE replace(protein, '*', '') END AS seq FROM tr)"""
+
+
 @query("protein_properties", sql("seqs", f"""
-WITH short AS (SELECT DISTINCT id, left(seq, 600) AS seq FROM seqs), tr AS ({_frame_sql(1).replace('FROM seqs', 'FROM short')}),
-p AS (SELECT id, CASE WHEN id % 4 <> 0 THEN replace(replace(protein, '*', ''), 'X', '') ELSE replace(protein, '*', '') END AS seq FROM tr), c AS (SELECT *, length(seq) > 0 AND NOT contains(seq, 'X') AS ok FROM p)
+WITH {_PROTEIN_SQL},
+c AS (SELECT *, length(seq) > 0 AND NOT contains(seq, 'X') AS ok FROM p)
 SELECT id, length(seq) AS length, CASE WHEN ok THEN round({_MASS_SQL} + 18.01528, 6) END AS weight, CASE WHEN ok THEN round(({_HYDRO_SQL}) / length(seq), 6) END AS gravy,
   CASE WHEN ok THEN 100.0::DOUBLE * ({_n('F')} + {_n('W')} + {_n('Y')}) / length(seq) END AS aromaticity, CASE WHEN ok THEN {_n('W')} * 5500 + {_n('Y')} * 1490 END AS extinction_reduced,
   CASE WHEN ok THEN {_n('W')} * 5500 + {_n('Y')} * 1490 + 125 * ({_n('C')} // 2) END AS extinction_oxidized FROM c"""))
@@ -118,7 +127,17 @@ def protein_properties(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("weight", "gravy")})
 
 
-@query("protein_pi")
+def _charge_sql(ph: str) -> str:
+    plus, minus = f"1 / (1 + pow(10.0::DOUBLE, {ph} - {{0}}))", f"1 / (1 + pow(10.0::DOUBLE, {{0}} - {ph}))"
+    parts = [plus.format(proteins.N_TERMINUS), "-" + minus.format(proteins.C_TERMINUS)]
+    parts += [f"+ n_{a} * {plus.format(k)}" for a, k in proteins.BASIC.items()] + [f"- n_{a} * {minus.format(k)}" for a, k in proteins.ACIDIC.items()]
+    return " ".join(parts)
+
+
+@query("protein_pi", sql("seqs", f"""WITH RECURSIVE {_PROTEIN_SQL}, c AS (SELECT id, length(seq) > 0 AND NOT contains(seq, 'X') AS ok, {", ".join(f"{_n(a)} AS n_{a}" for a in [*proteins.BASIC, *proteins.ACIDIC])} FROM p),
+s AS (SELECT id, 0 AS step, 0.0::DOUBLE AS lo, 14.0::DOUBLE AS hi FROM c WHERE ok UNION ALL
+  SELECT id, step + 1, CASE WHEN high THEN mid ELSE lo END, CASE WHEN high THEN hi ELSE mid END FROM (SELECT s.*, (lo + hi) * 0.5 AS mid, {_charge_sql("(lo + hi) * 0.5")} > 0 AS high FROM s JOIN c ON s.id = c.id WHERE step < 80))
+SELECT c.id, CASE WHEN ok THEN round({_charge_sql("7.0::DOUBLE")}, 6) END AS charge_7, round((lo + hi) * 0.5, 6) AS pi FROM c LEFT JOIN s ON s.id = c.id AND step = 80"""))
 def protein_pi(spark, d):
     return proteins.properties(_proteins(spark, d)).select("id", F.round("charge_7", 6).alias("charge_7"), F.round("pi", 6).alias("pi"))
 
@@ -177,16 +196,21 @@ def plddt(spark, d):
     return structures.plddt_bands(table(spark, d, "events").select(F.col("user_id").alias("residue"), F.col("value").alias("b")))
 
 
-@query("superpose_rmsd")
+@query("superpose_rmsd", sql("atoms", """SELECT count(*) AS pairs, round(sqrt(avg((x + y - 3) ** 2 + (y - x + 1) ** 2 + 4)), 4) AS rmsd_before, 0.0::DOUBLE AS rmsd, 0.0::DOUBLE AS r00, 1.0::DOUBLE AS r01, 0.0::DOUBLE AS r02,
+  -1.0::DOUBLE AS r10, 0.0::DOUBLE AS r11, 0.0::DOUBLE AS r12, 0.0::DOUBLE AS r20, 0.0::DOUBLE AS r21, 1.0::DOUBLE AS r22 FROM atoms"""))
 def superpose(spark, d):
+    """A quarter turn and a shift, which the best rotation undoes."""
     a = atoms(spark, d)
     turned = a.select("chain", "residue", (-F.col("y") + 3).alias("x"), (F.col("x") - 1).alias("y"), (F.col("z") + 2).alias("z"))
-    return structures.superposed(spark, a, turned)
+    out = structures.superposed(spark, a, turned)
+    return out.select("pairs", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in out.columns[1:]])
 
 
-_PAIRS = """WITH c AS (SELECT a.id AS a, b.id AS b, a.seq[i] AS p, b.seq[i] AS q FROM aln a, aln b, range(1, 61) t(i)),
-n AS (SELECT a, b, count(*) FILTER (p <> '-' OR q <> '-') AS cmp, count(*) FILTER (p <> q) AS diff, count(*) FILTER (p || q IN ('AG', 'GA', 'CT', 'TC')) AS ts, count(*) FILTER (p <> q AND p <> '-' AND q <> '-' AND p || q NOT IN ('AG', 'GA', 'CT', 'TC')) AS tv FROM c GROUP BY 1, 2),
-f AS (SELECT a, b, coalesce(diff::DOUBLE / nullif(cmp, 0), 0) AS p, coalesce(ts::DOUBLE / nullif(cmp, 0), 0) AS ts, coalesce(tv::DOUBLE / nullif(cmp, 0), 0) AS tv FROM n) """
+_PAIRS = """WITH al AS (SELECT DISTINCT id, seq FROM seqs), m AS (SELECT a.id AS a, b.id AS b, a.seq AS x, b.seq AS y, length(a.seq) AS n, length(b.seq) AS k FROM al a, al b WHERE a.id % 50 = 0),
+c AS (SELECT a, b, n, k, unnest(string_split(left(x, least(n, k)::INT), '')) AS p, unnest(string_split(left(y, least(n, k)::INT), '')) AS q FROM m),
+g AS (SELECT a, b, count(*) FILTER (p <> q) AS diff, count(*) FILTER (p || q IN ('AG', 'GA', 'CT', 'TC')) AS ts FROM c WHERE p <> '' GROUP BY 1, 2),
+f AS (SELECT m.a, m.b, coalesce((coalesce(diff, 0) + abs(n - k))::DOUBLE / nullif(greatest(n, k), 0), 0) AS p, coalesce(coalesce(ts, 0)::DOUBLE / nullif(greatest(n, k), 0), 0) AS ts, coalesce((coalesce(diff, 0) - coalesce(ts, 0))::DOUBLE / nullif(greatest(n, k), 0), 0) AS tv
+  FROM m LEFT JOIN g ON m.a = g.a AND m.b = g.b) """
 
 for _model, _formula in {
     "p-distance": "p",
@@ -195,9 +219,12 @@ for _model, _formula in {
 }.items():
 
     def _distance(spark, d, model=_model):
-        return phylogeny.distances(alignment(spark, d).distinct(), model).withColumn("distance", F.round("distance", 6) + F.lit(0.0) if model != "p-distance" else F.col("distance"))
+        """Documents whose id is divisible by 50 against all, whole sequences filled up with gaps."""
+        rows = seqs(spark, d).distinct()
+        out = phylogeny.distances(rows, model, rows.where("id % 50 = 0"))
+        return out.withColumn("distance", F.round("distance", 6) + F.lit(0.0) if model != "p-distance" else F.col("distance"))
 
-    query(f"seq_distance_{_model.replace('-', '_')}", sql("aln", _PAIRS.replace("WITH c", "WITH al AS (SELECT DISTINCT * FROM aln), c").replace("FROM aln a, aln b", "FROM al a, al b") + f"SELECT a, b, CASE WHEN a = b THEN 0.0::DOUBLE ELSE {_formula} + 0.0 END AS distance FROM f"))(_distance)
+    query(f"seq_distance_{_model.replace('-', '_')}", sql("seqs", _PAIRS + f"SELECT a, b, CASE WHEN a = b THEN 0.0::DOUBLE ELSE {_formula} + 0.0 END AS distance FROM f"))(_distance)
 
 
 def _tree(spark, d):

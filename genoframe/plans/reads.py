@@ -43,19 +43,19 @@ def dedup_sequence(spark, d):
     return op.deduplicated(reads(spark, d), "id").select("id").distinct()
 
 
-@query("fastq_dedup_header_umi", sql("reads", "SELECT min(id) AS id FROM reads GROUP BY id % 50, upper(left(seq, 8))"))
+@query("fastq_dedup_header_umi", sql("reads", "SELECT min(id) AS id FROM reads GROUP BY id % 50, upper(seq)"))
 def dedup_header(spark, d):
-    rows = reads(spark, d).select("id", F.substring("seq", 1, 8).alias("seq"), F.concat(F.lit("read:x:"), (F.col("id") % 50).cast("string")).alias("header"))
+    rows = reads(spark, d).select("id", "seq", F.concat(F.lit("read:x:"), (F.col("id") % 50).cast("string")).alias("header"))
     return op.deduplicated(rows, "id", umi_delimiter=":").select("id").distinct()
 
 
-@query("fastq_dedup_prefix_umi", sql("reads", "SELECT min(id) AS id FROM reads WHERE length(seq) > 4 GROUP BY left(seq, 4), substr(left(seq, 9), 5)"))
+@query("fastq_dedup_prefix_umi", sql("reads", "SELECT min(id) AS id FROM reads WHERE length(seq) > 4 GROUP BY left(seq, 4), substr(seq, 5)"))
 def dedup_prefix(spark, d):
-    rows = reads(spark, d).where(F.length("seq") > 4).select("id", F.substring("seq", 1, 9).alias("seq"))
+    rows = reads(spark, d).where(F.length("seq") > 4).select("id", "seq")
     return op.deduplicated(rows, "id", umi_bases=4).select("id").distinct()
 
 
-@query("fastq_subsample")
+@query("fastq_subsample", sql("reads", "SELECT id FROM reads ORDER BY md5('42:' || id), id LIMIT 100"))
 def subsample(spark, d):
     return op.subsampled(reads(spark, d), 100).select("id")
 

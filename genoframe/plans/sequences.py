@@ -76,9 +76,17 @@ def translate(spark, d):
     return op.translated(seqs(spark, d), (1, 2, 3, -1, -2, -3))
 
 
-@query("seq_orfs")
+_FRAMES = " UNION ALL ".join(map(_frame_sql, (1, 2, 3, -1, -2, -3)))
+
+
+@query("seq_orfs", sql("seqs", f"""WITH f AS (SELECT f.*, length(seq) AS n FROM ({_FRAMES}) f JOIN (SELECT DISTINCT id, seq FROM seqs) s ON f.id = s.id),
+p AS (SELECT id, n, frame, list_transform(string_split(protein, '*'), lambda x: length(x) + 1) AS sizes, string_split(protein, '*') AS pieces FROM (SELECT DISTINCT * FROM f)),
+x AS (SELECT id, n, frame, i, len(pieces) AS k, pieces[i] AS piece, list_sum(sizes[1:i - 1]) AS before FROM (SELECT *, unnest(range(1, len(pieces) + 1)) AS i FROM p)),
+o AS (SELECT id, n, frame, i < k AS complete, instr(piece, 'M') - 1 AS m, length(piece) AS l, coalesce(before, 0) AS before FROM x WHERE contains(piece, 'M')),
+b AS (SELECT *, abs(frame) - 1 + 3 * (before + m) AS b, abs(frame) - 1 + 3 * (before + l + CASE WHEN complete THEN 1 ELSE 0 END) AS e FROM o WHERE l - m >= 10)
+SELECT id, (CASE WHEN frame > 0 THEN b + 1 ELSE n - e + 1 END)::BIGINT AS start, (CASE WHEN frame > 0 THEN e ELSE n - b END)::BIGINT AS "end", CASE WHEN frame > 0 THEN '+' ELSE '-' END AS strand, abs(frame)::INTEGER AS frame, complete, (l - m)::BIGINT AS aa_length FROM b"""))
 def orfs(spark, d):
-    return op.orfs(seqs(spark, d), min_aa=10, partial=True)
+    return op.orfs(seqs(spark, d).distinct(), min_aa=10, partial=True)
 
 
 @query("seq_id_normalize", sql("seqs", "SELECT id, 'rec_' || lpad((row_number() OVER (ORDER BY id))::VARCHAR, 6, '0') AS new_id FROM (SELECT DISTINCT id FROM seqs)"))
@@ -150,13 +158,15 @@ def epcr(spark, d):
 
 
 @query("dotplot_matches", sql("seqs", """
-WITH w AS (SELECT id, i, substr(seq, i, 8) AS k FROM (SELECT id, seq, unnest(range(1, length(seq) - 6)) AS i FROM (SELECT DISTINCT * FROM seqs)))
-SELECT a.id AS qid, b.id AS rid, a.i AS qpos, b.i AS rpos FROM w a JOIN w b ON a.k = b.k WHERE a.id % 100 = 1 AND b.id % 100 = 2 AND NOT contains(a.k, 'N')"""))
+WITH w AS (SELECT id, i, substr(seq, i, 8) AS k FROM (SELECT id, seq, unnest(range(1, length(seq) - 6)) AS i FROM (SELECT DISTINCT * FROM seqs))), q AS (SELECT item_id, upper(regexp_replace(text, '[^ACGTNacgtn]', '', 'g')) AS seq FROM benchmark),
+v AS (SELECT item_id AS id, i, substr(seq, i, 8) AS k FROM (SELECT item_id, seq, unnest(range(1, length(seq) - 6)) AS i FROM q))
+SELECT a.id AS qid, b.id AS rid, a.i AS qpos, b.i AS rpos FROM v a JOIN w b ON a.k = b.k WHERE NOT contains(a.k, 'N')"""))
 def dotplot(spark, d):
-    s = seqs(spark, d).distinct()
-    return op.dotplot(s.where("id % 100 = 1"), s.where("id % 100 = 2"), 8)
+    """The benchmark's items as queries, against all documents."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("id"), F.upper(F.regexp_replace("text", "[^ACGTNacgtn]", "")).alias("seq"))
+    return op.dotplot(items, seqs(spark, d).distinct(), 8)
 
 
-@query("seq_shuffle")
+@query("seq_shuffle", sql("seqs", "SELECT id, row_number() OVER (ORDER BY md5('42:' || id), id) AS place FROM (SELECT DISTINCT id FROM seqs)"))
 def shuffle(spark, d):
-    return op.shuffled(seqs(spark, d).select("id"))
+    return op.shuffled(seqs(spark, d).select("id").distinct())

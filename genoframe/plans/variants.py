@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import variants as op
 from .catalog import query
-from .views import sql, variants
+from .views import alleles_of, seqs, sql, variants
 
 _CLASS = "CASE WHEN a = '*' OR (a[1] = '<' AND a[-1] = '>') OR contains(a, '[') OR contains(a, ']') THEN 'SYMBOLIC' WHEN length(ref) = 1 AND length(a) = 1 THEN 'SNP' WHEN length(ref) = length(a) THEN 'MNV' ELSE 'INDEL' END"
 
@@ -63,24 +63,23 @@ def to_table(spark, d):
     return op.to_table(variants(spark, d))
 
 
-@query("vcf_normalize")
+@query("vcf_normalize", sql("seqs", """WITH s AS (SELECT DISTINCT 'd' || id AS chrom, seq FROM seqs WHERE length(seq) >= 9), v AS (SELECT chrom, seq, unnest(range(2, length(seq), 7)) AS p FROM s),
+r AS (SELECT chrom, seq, greatest(1, length(rtrim(left(seq, p), seq[p + 1]))) AS pos FROM v)
+SELECT chrom, pos::BIGINT AS pos, substr(seq, pos, 2) AS ref, substr(seq, pos, 1) AS alt FROM r"""))
 def normalize(spark, d):
-    """Deletions of one base inside runs, against a made contig."""
-    reference = spark.createDataFrame([("c", "GATTTACAAAAGCCCGT" * 40)], "chrom string, seq string")
-    rows = spark.range(0, 600).select(F.lit("c").alias("chrom"), (F.col("id") + 2).alias("pos"))
-    seq = F.repeat(F.lit("GATTTACAAAAGCCCGT"), 40)
-    rows = rows.select("chrom", "pos", F.substring(seq, F.col("pos"), F.lit(2)).alias("ref"), F.substring(seq, F.col("pos"), F.lit(1)).alias("alt"))
-    return op.normalized(rows, reference)
+    """Deletions of one base all along each document's sequence."""
+    references = seqs(spark, d).distinct().where(F.length("seq") >= 9).select(F.concat(F.lit("d"), "id").alias("chrom"), "seq")
+    return op.normalized(alleles_of(spark, d), references)
 
 
-@query("pgx_match", """WITH v AS (SELECT l_orderkey, l_linenumber, l_orderkey % 12 AS i, ['0/0', '0/1', '1|1', './.'][l_partkey % 4 + 1] AS gt FROM lineitem),
+@query("pgx_match", """WITH v AS (SELECT l_orderkey, l_linenumber, l_orderkey % 6 AS i, ['0/0', '0/1', '1|1', './.'][l_partkey % 4 + 1] AS gt FROM lineitem),
 r AS (SELECT * FROM (VALUES (0, 'chr10', 96541605, 'CYP2C19', 'CYP2C19*2'), (1, 'chr10', 96540410, 'CYP2C19', 'CYP2C19*3'), (2, 'chr10', 96521657, 'CYP2C19', 'CYP2C19*17'), (3, 'chr22', 42130641, 'CYP2D6', 'CYP2D6*4'),
   (4, 'chr22', 42127943, 'CYP2D6', 'CYP2D6*10'), (5, 'chr12', 21176826, 'SLCO1B1', 'SLCO1B1*5')) t(i, chrom, pos, gene, allele))
 SELECT chrom, pos::BIGINT AS pos, gene, allele, CASE gt WHEN '1|1' THEN 'hom-alt' ELSE 'het-alt' END AS genotype, count(*) AS n FROM v JOIN r ON v.i = r.i WHERE gt IN ('0/1', '1|1') GROUP BY ALL""")
 def pgx(spark, d):
     rules = op.pgx_rules(spark)
     sites = F.array(*[F.struct(F.lit(c).alias("chrom"), F.lit(p).cast("long").alias("pos"), F.lit(r).alias("ref"), F.lit(a).alias("alt")) for c, p, r, a, *_ in op.PGX_ALLELES[:6]])
-    li = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 12 < 6")
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
     gt = F.element_at(F.array(*[F.lit(x) for x in ("0/0", "0/1", "1|1", "./.")]), (F.col("l_partkey") % 4 + 1).cast("int"))
-    rows = li.select(F.element_at(sites, (F.col("l_orderkey") % 12 + 1).cast("int")).alias("s"), gt.alias("gt")).select("s.*", "gt")
+    rows = li.select(F.element_at(sites, (F.col("l_orderkey") % 6 + 1).cast("int")).alias("s"), gt.alias("gt")).select("s.*", "gt")
     return op.pgx_matches(rows, rules).groupBy("chrom", "pos", "gene", "allele", "genotype").agg(F.count(F.lit(1)).alias("n"))

@@ -22,9 +22,14 @@ def intervals(spark: SparkSession, d: str, side: str) -> DataFrame:
     return rows.select(F.col("l_suppkey").cast("string").alias("contig"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"))
 
 
+#: Bases of a read of the reads view.
+READ = 100
+
+
 def reads(spark: SparkSession, d: str) -> DataFrame:
-    """(id, seq, qual): the first 100 bases, and a quality made of base, place and id."""
-    rows = seqs(spark, d).select("id", F.substring("seq", 1, 100).alias("seq"))
+    """(id, seq, qual): each sequence in reads of up to 100 bases, and a quality made of base, place and id."""
+    pieces = F.posexplode(F.regexp_extract_all("seq", F.lit(f".{{1,{READ}}}"), F.lit(0))).alias("part", "seq")
+    rows = seqs(spark, d).select("id", pieces).select((F.col("id") * 100_000 + F.col("part")).alias("id"), "seq")
     code = lambda c, i: F.chr(33 + F.pmod(F.ascii(c) * 7 + (i + 1) * 3 + F.col("id"), F.lit(41)))
     split = F.filter(F.split("seq", ""), lambda c: c != "")
     return rows.select("id", "seq", F.array_join(F.transform(split, code), "").alias("qual"))
@@ -84,11 +89,22 @@ def atoms(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("label").cast("string").alias("chain"), F.col("vec_id").alias("residue"), at(1).alias("x"), at(2).alias("y"), at(3).alias("z"))
 
 
-def alignment(spark: SparkSession, d: str, length: int = 60, n: int = 60) -> DataFrame:
-    """(id, seq): the first 60 bases of the first 60 documents, filled up with gaps."""
-    docs = table(spark, d, "documents").where(F.col("doc_id") < n)
-    seq = F.upper(F.regexp_replace("text", "[^ACGTNacgtn]", ""))
-    return docs.select(F.col("doc_id").alias("id"), F.rpad(F.substring(seq, 1, length), length, "-").alias("seq"))
+#: Columns of the alignment view.
+COLUMNS = 60
+
+
+def alignment(spark: SparkSession, d: str) -> DataFrame:
+    """(id, seq): each sequence in pieces of 60 bases, filled up with gaps."""
+    pieces = F.explode(F.regexp_extract_all("seq", F.lit(f".{{1,{COLUMNS}}}"), F.lit(0))).alias("seq")
+    return seqs(spark, d).select("id", pieces).select("id", F.rpad("seq", COLUMNS, "-").alias("seq"))
+
+
+def alleles_of(spark: SparkSession, d: str) -> DataFrame:
+    """(chrom, pos, ref, alt): a deletion of one base after every seventh base of each sequence, its own contig."""
+    s = seqs(spark, d).distinct().where(F.length("seq") >= 9)
+    at = F.explode(F.sequence(F.lit(2), F.length("seq") - 1, F.lit(7))).alias("pos")
+    rows = s.select(F.concat(F.lit("d"), "id").alias("chrom"), "seq", at)
+    return rows.select("chrom", "pos", F.expr("substring(seq, pos, 2)").alias("ref"), F.expr("substring(seq, pos, 1)").alias("alt"))
 
 
 SQL = {
@@ -97,8 +113,8 @@ SQL = {
       l_linenumber % 2 AS odd, row_number() OVER () AS rid FROM lineitem""",
     "lft": "SELECT * FROM ivl WHERE odd = 1",
     "rgt": "SELECT * FROM ivl WHERE odd = 0",
-    "reads": """SELECT id, left(seq, 100) AS seq,
-      array_to_string(list_transform(range(1, length(left(seq, 100)) + 1), lambda i: chr((33 + (ascii(seq[i]) * 7 + i * 3 + id) % 41)::INTEGER)), '') AS qual FROM seqs""",
+    "pieces": "SELECT id * 100000 + part AS id, substr(seq, part * 100 + 1, 100) AS seq FROM (SELECT id, seq, unnest(range(0, (length(seq) + 99) // 100)) AS part FROM seqs)",
+    "reads": "SELECT id, seq, array_to_string(list_transform(range(1, length(seq) + 1), lambda i: chr((33 + (ascii(seq[i]) * 7 + i * 3 + id) % 41)::INTEGER)), '') AS qual FROM pieces",
     "features": """SELECT p_brand AS seqid, CASE WHEN p_partkey % 3 = 0 THEN 'curated' ELSE 'predicted' END AS source, p_type AS type, p_partkey * 10 + 1 AS s, p_partkey * 10 + 1 + p_size * 20 AS e,
       CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand, 'g' || p_partkey AS id, CASE WHEN p_partkey % 5 <> 0 THEN 'g' || (p_partkey - p_partkey % 5) END AS parent FROM part""",
     "vk": "SELECT *, l_partkey + l_linenumber AS k FROM lineitem",
@@ -113,9 +129,9 @@ SQL = {
     "fwd": "SELECT 's' || l_suppkey AS query, 'p' || l_partkey AS subject, 100 - 100 * l_tax AS identity, l_quantity::BIGINT AS length, l_discount AS evalue, l_extendedprice AS bits FROM lineitem",
     "rev": "SELECT subject AS query, query AS subject, identity, length, evalue, bits FROM fwd",
     "atoms": "SELECT label::VARCHAR AS chain, vec_id AS residue, embedding[1]::DOUBLE * 20 AS x, embedding[2]::DOUBLE * 20 AS y, embedding[3]::DOUBLE * 20 AS z FROM embeddings",
-    "aln": "SELECT doc_id AS id, rpad(left(upper(regexp_replace(text, '[^ACGTNacgtn]', '', 'g')), 60), 60, '-') AS seq FROM documents WHERE doc_id < 60",
+    "aln": "SELECT id, rpad(substr(seq, part * 60 + 1, 60), 60, '-') AS seq FROM (SELECT id, seq, unnest(range(0, (length(seq) + 59) // 60)) AS part FROM seqs)",
 }
-_NEEDS = {"lft": ["ivl"], "rgt": ["ivl"], "reads": ["seqs"], "vr": ["vk"], "variants": ["vk", "vr"], "rev": ["fwd"]}
+_NEEDS = {"lft": ["ivl"], "rgt": ["ivl"], "pieces": ["seqs"], "reads": ["seqs", "pieces"], "aln": ["seqs"], "vr": ["vk"], "variants": ["vk", "vr"], "rev": ["fwd"]}
 
 
 def sql(views: str, body: str) -> str:
