@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .catalog import ORACLES, QUERIES
 
-for _family in ("intervals", "tables", "sequences", "reads", "variants", "annotations", "expression", "biology"):
+for _family in ("intervals", "tables", "sequences", "reads", "variants", "annotations", "expression", "biology", "formats"):
     import_module(f"{__package__}.{_family}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import wrapped
+from ..operators.prefix import running
+from .tables import first_lines
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -19,12 +21,15 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): lines from 0 over all files. Partitions are counted first; only their sizes leave them."""
-    rows = spark.read.text(path).withColumn("m", F.monotonically_increasing_id()).withColumn("p", F.shiftright("m", 33))
-    sizes = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    first = sizes.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    rows = rows.join(F.broadcast(first), "p")  # a row for each partition
-    return rows.select((F.col("first") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("line"), "value")
+    """(line, value): lines from 0 over all files, by path, whatever parts of which files a task reads.
+
+    The parts are counted first; only their sizes leave them.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("p"), F.monotonically_increasing_id().alias("m"))
+    sizes = rows.groupBy("f", "p").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("low"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("f", "p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = sizes.select("f", "p", (before - F.col("low")).alias("shift"))  # a row for each part
+    return rows.join(first, ["f", "p"]).select((F.col("m") + F.col("shift")).alias("line"), "value")
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
@@ -99,8 +104,8 @@ def vcf(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
 
 def matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """(row, col, value) of a coordinate file, 1-based; a wrong banner is an error."""
-    head = spark.read.text(path).limit(1).collect()
-    if not head or not head[0].value.startswith("%%MatrixMarket matrix coordinate"):
+    head = first_lines(spark, path)
+    if not head or not head[0].startswith("%%MatrixMarket matrix coordinate"):
         raise ValueError("not a coordinate MatrixMarket file")
     rows = numbered_lines(spark, path).where("value <> '' AND NOT value LIKE '\\%%'")
     first = rows.agg(F.min("line").alias("__first"))
@@ -121,8 +126,9 @@ def pdb(spark: SparkSession, path: str, drop_altloc: bool = True) -> DataFrame:
     lines = numbered_lines(spark, path)
     end = lines.where(F.trim("value") == "END").agg(F.min("line").alias("__end"))
     lines = lines.crossJoin(F.broadcast(end)).where("__end IS NULL OR line < __end")  # one row
-    model = F.last(F.when(F.col("value").startswith("MODEL "), F.trim(F.substring("value", 7, 10))), ignorenulls=True)
-    rows = lines.withColumn("model", F.coalesce(model.over(Window.partitionBy(F.lit(0)).orderBy("line")), F.lit("1")))  # one structure
+    named = F.when(F.col("value").startswith("MODEL "), F.struct("line", F.trim(F.substring("value", 7, 10)).alias("name")))
+    rows = lines.withColumn("k", F.lit(0)).withColumn("bin", F.floor(F.col("line") / 65536))
+    rows = running(rows, ["k"], "bin", [F.col("line")], {"last": ("max", named)}).withColumn("model", F.coalesce("last.name", F.lit("1")))
     rows = rows.where(F.col("value").rlike("^(ATOM  |HETATM)") & (F.length("value") >= 54))
     cut = lambda a, b, kind="string": F.trim(F.substring("value", a + 1, b - a)).try_cast(kind)
     out = rows.select(
@@ -152,6 +158,18 @@ def write_bed(intervals: DataFrame, path: str) -> None:
     write_lines(intervals.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in intervals.columns])), path)
 
 
+def write_vcf(variants: DataFrame, path: str, sample: str = "sample") -> None:
+    """Records with the version and column lines as the first file; a column gt is the genotype of one sample. Missing values are '.'."""
+    dot = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(".")) if c in variants.columns else F.lit(".")
+    q = F.col("qual")
+    qual = F.when(q.isNull(), ".").when(q == F.floor(q), F.floor(q).cast("string")).otherwise(q.cast("string")) if "qual" in variants.columns else F.lit(".")
+    names, cells = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO"], [dot("chrom"), dot("pos"), dot("id"), dot("ref"), dot("alt"), qual, dot("filter"), dot("info")]
+    if "gt" in variants.columns:
+        names, cells = [*names, "FORMAT", sample], [*cells, F.lit("GT"), dot("gt")]
+    head = variants.sparkSession.createDataFrame([("##fileformat=VCFv4.2\n" + "\t".join(names),)], "value string").coalesce(1)
+    write_lines(head.union(variants.select(F.concat_ws("\t", *cells))), path)
+
+
 def write_table(df: DataFrame, path: str, delimiter: str = "\t") -> None:
     df.write.mode("errorifexists").option("header", True).option("sep", delimiter).csv(path)
 

@@ -23,7 +23,13 @@ FIELDS = {
 
 
 def first_lines(spark: SparkSession, path: str, n: int = 1) -> list[str]:
-    return [r.value for r in spark.read.text(path).limit(n).collect()]
+    """The first lines of the files, by path."""
+    out: list[str] = []
+    for file in sorted(spark.read.text(path).inputFiles()):
+        out += [r.value for r in spark.read.text(file).limit(n - len(out)).collect()]
+        if len(out) >= n:
+            break
+    return out
 
 
 def delimiter_of(spark: SparkSession, path: str) -> str:
