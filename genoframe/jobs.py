@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import annotations, ecology, enrichment, expression, intervals, phylogeny, proteins, reads, sequences, similarity, structures, survival, tables, variants
+from .operators import annotations, differential, ecology, enrichment, expression, intervals, phylogeny, proteins, reads, sequences, similarity, structures, survival, tables, variants
 from .sources import files, records
 from .sources import tables as readers
 
@@ -37,6 +37,7 @@ class Result:
     data: DataFrame | None = None
     artifact: str | None = None
     message: str = ""
+    error: Exception | None = None
     inputs: dict = field(default_factory=dict)
 
 
@@ -125,9 +126,9 @@ _vcf = records.vcf
 for _name in ("variant.stats.v1", "medical.variant-cohort.v1"):
     capability(_name, "vcf")(lambda s, i, p: variants.stats(_vcf(s, i["vcf"])))
 capability("variant.compare.v1", "left-vcf right-vcf")(lambda s, i, p: variants.compared(_vcf(s, i["left-vcf"]), _vcf(s, i["right-vcf"])))
-capability("variant.filter.v1", "vcf", "min_qual require_pass contigs min_info_dp")(lambda s, i, p: _vcf(s, i["vcf"]).where(variants.reject_reason(**_picked(p, min_qual="min_qual", require_pass="require_pass", contigs="contigs", min_dp="min_info_dp")).isNull()).drop("samples"))
+capability("variant.filter.v1", "vcf", "min_qual require_pass contigs min_info_dp", records.write_vcf)(lambda s, i, p: _vcf(s, i["vcf"]).where(variants.reject_reason(**_picked(p, min_qual="min_qual", require_pass="require_pass", contigs="contigs", min_dp="min_info_dp")).isNull()).drop("samples"))
 capability("variant.to-table.v1", "vcf")(lambda s, i, p: variants.to_table(_vcf(s, i["vcf"], strict=False)))
-capability("variant.normalize.v1", "vcf reference")(lambda s, i, p: variants.normalized(_vcf(s, i["vcf"]), _fa(s, i["reference"]).select(F.col("id").alias("chrom"), "seq")))
+capability("variant.normalize.v1", "vcf reference", write=records.write_vcf)(lambda s, i, p: variants.normalized(_vcf(s, i["vcf"]), _fa(s, i["reference"]).select(F.col("id").alias("chrom"), "seq")))
 capability("medical.pharmacogenomics.v1", "vcf")(lambda s, i, p: variants.pgx_matches(_vcf(s, i["vcf"]).select("chrom", "pos", "ref", "alt", "gt"), variants.pgx_rules(s)))
 
 # ---- annotations
@@ -230,7 +231,7 @@ capability("medical.spatial-transcriptomics.v1", "matrix features barcodes")(
     lambda s, i, p: ecology.barcode_ranks(records.matrix_market(s, i["matrix"]).join(records.numbered_lines(s, i["barcodes"]).select((F.col("line") + 1).alias("col"), F.split("value", "\t")[0].alias("barcode")), "col").select("barcode", F.col("row").alias("gene"), F.col("value").alias("n")))
 )
 capability("medical.metabolomics.v1", "mzml")(lambda s, i, p: ecology.local_maxima(files.mzml(s, i["mzml"]).withColumn("value", F.col("intensity")), "index", ["i"]))
-capability("metagenomics.report.v1", "report")(lambda s, i, p: ecology.alpha_diversity(records.kraken_report(s, i["report"]).where("rank = 'S' AND taxon_count > 0").select(F.lit("report").alias("sample"), F.col("name").alias("taxon"), F.col("taxon_count").alias("n"))))
+capability("medical.microbiome.v1", "report")(lambda s, i, p: ecology.alpha_diversity(records.kraken_report(s, i["report"]).where("rank = 'S' AND taxon_count > 0").select(F.lit("report").alias("sample"), F.col("name").alias("taxon"), F.col("taxon_count").alias("n"))))
 
 
 @capability("phylogeny.tree.transform.v1", "tree", "reroot_label label_map", records.write_lines)
@@ -241,11 +242,63 @@ def _tree(s, i, p):
     return s.createDataFrame([(files.newick_text(edges),)], "tree string")
 
 
-@capability("medical.survival.v1", "cohort", "time_column event_column group_column")
+@capability("medical.survival.v1", "cohort", "time_column event_column group_column analysis covariates")
 def _survival(s, i, p):
+    """analysis: medians (the default), curve, log-rank, or cox with numeric covariates."""
     df = readers.table(s, i["cohort"])
     group = F.col(p["group_column"]) if "group_column" in p else F.lit("all")
-    return survival.medians(df.select(group.alias("group"), F.col(p.get("time_column", "time")).cast("double").alias("time"), (F.col(p.get("event_column", "event")).cast("int") == 1).alias("event")))
+    numbers = [F.col(c).cast("double").alias(c) for c in p.get("covariates", [])]
+    rows = df.select(group.alias("group"), F.col(p.get("time_column", "time")).cast("double").alias("time"), (F.col(p.get("event_column", "event")).cast("int") == 1).alias("event"), *numbers)
+    kind = p.get("analysis", "medians")
+    if kind == "cox":
+        return survival.cox(rows, list(p.get("covariates", [])))
+    return {"medians": survival.medians, "curve": survival.curve, "log-rank": survival.log_rank}[kind](rows)
+
+
+@capability("expression.differential.v1", "matrix design", "reference sample_column condition_column")
+def _differential(s, i, p):
+    design = readers.table(s, i["design"]).select(F.col(p.get("sample_column", "sample_id")).alias("sample"), F.col(p.get("condition_column", "condition")).alias("condition"))
+    return differential.wald(readers.matrix(s, i["matrix"]), design, p["reference"])
+
+
+@capability("annotation.eggnog.normalize.v1", "annotations")
+def _eggnog(s, i, p):
+    """An annotation table whose column line starts with one '#'."""
+    head = next(x for x in readers.first_lines(s, i["annotations"], 50) if x.startswith("#") and not x.startswith("##"))
+    names = [readers.normalized(n) for n in head.lstrip("#").split("\t")]
+    f = F.split("value", "\t")
+    rows = s.read.text(i["annotations"]).where("value <> '' AND NOT value LIKE '#%'")
+    at = lambda *of: next((F.get(f, F.lit(names.index(n))) for n in of if n in names), F.lit("-"))
+    return annotations.eggnog(rows.select(at("query", "query_name").alias("gene"), at("gos").alias("gos"), at("kegg_ko").alias("ko"), at("kegg_pathway").alias("pathways"), at("cog_category").alias("cog")))
+
+
+@capability("structure.geometry.v1", "structure", "points")
+def _geometry(s, i, p):
+    """points: two to four of {chain, residue, atom}; their distance, angle or torsion."""
+    rows = files.mmcif(s, i["structure"]) if i["structure"].lower().endswith((".cif", ".mmcif")) else records.pdb(s, i["structure"])
+    found = []
+    for q in p["points"]:
+        own = rows.where((F.col("chain") == q["chain"]) & (F.col("resseq") == str(q["residue"])) & (F.col("name") == q["atom"])).select("x", "y", "z").limit(1).collect()
+        if not own:
+            raise ValueError(f"no atom {q}")
+        found.append(tuple(own[0]))
+    kind = {2: "distance", 3: "angle", 4: "torsion"}.get(len(found), "")
+    return s.createDataFrame([(kind, structures.geometry(found))], "kind string, value double")
+
+
+@capability("alignment.coverage.v1", "sam")
+def _coverage(s, i, p):
+    """Depth of mapped records; bases of the reference that M, D, N, = and X of the CIGAR cover."""
+    rows = records.sam(s, i["sam"]).where(F.col("flag").bitwiseAND(F.lit(reads.UNMAPPED)) == 0)
+    long = F.aggregate(F.regexp_extract_all("cigar", F.lit(r"(\d+)[MDN=X]"), F.lit(1)), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+    return reads.coverage(rows.select(F.col("rname").alias("contig"), (F.col("pos") - 1).alias("start"), (F.col("pos") - 1 + long).alias("end")).where("end > start"))
+
+
+@capability("dataset.inspect.v1", "dataset")
+def _inspect(s, i, p):
+    """The format of a file by its first bytes or its name."""
+    row = s.read.format("binaryFile").load(i["dataset"]).select("path", F.substring("content", 1, 65536).alias("head")).limit(1).collect()
+    return s.createDataFrame([(files.sniffed(bytes(row[0].head), row[0].path),)], "format string")
 
 
 def digest(path: str) -> str | None:
@@ -277,4 +330,4 @@ def execute(spark: SparkSession, request: dict) -> Result:
                 raise ValueError("an input changed while the job ran")
         return Result(job, name, "succeeded", data, output, inputs=before)
     except Exception as e:
-        return Result(job, name, "failed", message=str(e)[:2000])
+        return Result(job, name, "failed", message=str(e)[:2000], error=e)

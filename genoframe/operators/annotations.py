@@ -69,10 +69,14 @@ def density(features: DataFrame, window: int, step: int, types=None) -> DataFram
 def extracted(features: DataFrame, references: DataFrame, promoter: int | None = None) -> DataFrame:
     """(id, seq) of each feature id: its parts in order, joined, '-' reverse-complemented; or the promoter before it.
 
-    A place beyond the reference's end is cut.
+    A place beyond the reference's end is cut. With a column `phase` (0, 1 or 2, else 0) the
+    first coding part, in the direction of the strand, starts that many bases later.
     """
+    phase = F.lit(0)
     if promoter is None:
-        parts = features.groupBy("id", "seqid", "strand").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("parts"))  # the parts of one feature
+        own = F.coalesce(F.col("phase").try_cast("int"), F.lit(0)) if "phase" in features.columns else F.lit(0)
+        parts = features.groupBy("id", "seqid", "strand").agg(F.array_sort(F.collect_list(F.struct("start", "end", own.alias("phase")))).alias("parts"))  # the parts of one feature
+        phase = F.when(F.col("strand") == "-", F.element_at("parts", -1)["phase"]).otherwise(F.element_at("parts", 1)["phase"])
     else:
         minus = F.col("strand") == "-"
         start = F.when(minus, F.col("end") + 1).otherwise(F.greatest(F.lit(1), F.col("start") - promoter))
@@ -80,7 +84,8 @@ def extracted(features: DataFrame, references: DataFrame, promoter: int | None =
         parts = features.select("id", "seqid", "strand", F.array(F.struct(start.alias("start"), end.alias("end"))).alias("parts"))
     rows = parts.join(references.select(F.col("seqid"), F.col("seq").alias("ref")), "seqid")
     joined = F.array_join(F.transform("parts", lambda p: F.substring(F.col("ref"), p["start"].cast("int"), F.greatest(F.lit(0), p["end"] - p["start"] + 1).cast("int"))), "")
-    return rows.select("id", F.when(F.col("strand") == "-", reverse_complement(joined)).otherwise(joined).alias("seq"))
+    seq = F.when(F.col("strand") == "-", reverse_complement(joined)).otherwise(joined)
+    return rows.select("id", F.substring(seq, phase + 1, F.length(seq)).alias("seq") if promoter is None else seq.alias("seq"))
 
 
 def go_terms(rows: DataFrame) -> DataFrame:

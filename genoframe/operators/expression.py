@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -101,18 +101,61 @@ def kmeans_rows(x: np.ndarray, k: int, most: int = 100) -> np.ndarray:
     return label
 
 
-def kmeans(spark: SparkSession, matrix: DataFrame, k: int = 4, most_cells: int = 10_000_000) -> DataFrame:
-    """(feature, cluster) by exact k-means on the driver; more than most_cells cells are an error."""
-    rows = matrix.limit(most_cells + 1).toPandas()
-    if len(rows) > most_cells:
-        raise ValueError("too many cells for exact k-means")
-    wide = rows.pivot(index="feature", columns="sample", values="value").fillna(0.0).sort_index()
-    label = kmeans_rows(wide.to_numpy(), min(k, len(wide)))
-    return spark.createDataFrame([(f, int(c)) for f, c in zip(wide.index, label)], "feature string, cluster int")
+#: Samples of a clustered matrix, and features that all pairs are made of, at most.
+MOST_SAMPLES, MOST_FEATURES = 10_000, 20_000
+
+
+def kmeans(spark: SparkSession, matrix: DataFrame, k: int = 4, most: int = 100) -> DataFrame:
+    """(feature, cluster) by exact k-means as kmeans_rows() has it: features are vectors of their samples, missing values 0.
+
+    The features stay on the executors: each step sends the k centres out and brings back
+    one row for each cluster.
+    """
+    names = sorted(r[0] for r in matrix.select("sample").distinct().limit(MOST_SAMPLES + 1).collect())
+    if len(names) > MOST_SAMPLES:
+        raise ValueError(f"more than {MOST_SAMPLES} samples")
+    held = F.map_from_entries(F.collect_list(F.struct("sample", F.coalesce("value", F.lit(0.0)).alias("value"))))
+    rows = matrix.groupBy("feature").agg(held.alias("m")).select("feature", F.array(*[F.coalesce(F.try_element_at("m", F.lit(n)), F.lit(0.0)) for n in names]).alias("x")).persist()
+
+    def far(c) -> Column:
+        return F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+
+    first = lambda value: rows.select("feature", "x", value.alias("v")).orderBy(F.desc("v"), "feature").limit(1).collect()
+    start = first(far([0.0] * len(names)))
+    if not start:
+        return spark.createDataFrame([], "feature string, cluster int")
+    centres = [start[0].x]
+    while len(centres) < min(k, rows.count()):
+        centres.append(first(F.least(*[far(c) for c in centres]) if len(centres) > 1 else far(centres[0]))[0].x)
+    last = None
+    for _ in range(most):
+        distances = F.array(*[far(c) for c in centres])
+        made = rows.select("feature", "x", distances.alias("d")).select("feature", "x", F.array_min("d").alias("v"), (F.array_position("d", F.array_min("d")) - 1).cast("int").alias("cluster"))
+        empty = sorted(set(range(len(centres))) - {r[0] for r in made.select("cluster").distinct().collect()})
+        moved = {r.feature: e for r, e in zip(made.orderBy(F.desc("v"), "feature").limit(len(empty)).collect(), empty)} if empty else {}
+        cluster = F.col("cluster")
+        for f, e in moved.items():
+            cluster = F.when(F.col("feature") == f, e).otherwise(cluster)
+        made = made.select("feature", "x", cluster.cast("int").alias("cluster"))
+        means = made.groupBy("cluster").agg(F.sum(F.xxhash64("feature").cast("decimal(38,0)")).alias("h"), *[F.avg(F.get("x", F.lit(i))).alias(f"m{i}") for i in range(len(names))]).orderBy("cluster").collect()  # k rows
+        now = [(r.cluster, r.h) for r in means]
+        if now == last:
+            break
+        last, by = now, {r.cluster: [r[f"m{i}"] for i in range(len(names))] for r in means}
+        centres = [by.get(i, centres[i]) for i in range(len(centres))]
+    return made.select("feature", "cluster")
+
+
+def _few(matrix: DataFrame) -> DataFrame:
+    """matrix, unless it has more than MOST_FEATURES features."""
+    if matrix.select("feature").distinct().limit(MOST_FEATURES + 1).count() > MOST_FEATURES:
+        raise ValueError(f"more than {MOST_FEATURES} features: choose the most variable ones first")
+    return matrix
 
 
 def correlation_distances(matrix: DataFrame) -> DataFrame:
-    """(a, b, distance): 1 - Pearson correlation of features a < b; meant for the top variable ones."""
+    """(a, b, distance): 1 - Pearson correlation of features a < b; the result has a row for each pair, of MOST_FEATURES features at most."""
+    matrix = _few(matrix)
     x, y = matrix.select(F.col("feature").alias("a"), "sample", F.col("value").alias("x")), matrix.select(F.col("feature").alias("b"), "sample", F.col("value").alias("y"))
     rows = x.join(y, "sample").where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("r"))
     return rows.select("a", "b", (1 - F.col("r")).alias("distance"))

@@ -72,6 +72,17 @@ def angle_of(a: str, b: str, c: str):
     return F.degrees(F.acos(_dot(u, v) / F.sqrt(_dot(u, u)) / F.sqrt(_dot(v, v))))
 
 
+def _cross(u: list, v: list) -> list:
+    return [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+
+
+def torsion_of(a: str, b: str, c: str, d: str):
+    """Torsion of four columns of places around b - c, in degrees."""
+    u, v, w = _between(a, b), _between(b, c), _between(c, d)
+    n, m = _cross(u, v), _cross(v, w)
+    return F.degrees(F.atan2(_dot(_cross(n, m), v) / F.sqrt(_dot(v, v)), _dot(n, m)))
+
+
 def geometry(points: list[tuple]) -> float:
     """Distance of two points, angle of three or torsion of four, in degrees."""
     p = [np.array(x, float) for x in points]

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import translate_frame
 from ..functions.statistics import bh_adjusted
-from ..operators import ecology, enrichment, phylogeny, proteins, similarity, structures, survival
+from ..operators import differential, ecology, enrichment, phylogeny, proteins, similarity, structures, survival
 from .catalog import query
 from .sequences import _frame_sql
-from .views import associations, atoms, features, hits, seqs, sql, table
+from .views import associations, atoms, features, hits, matrix, seqs, sql, table
 
 
 @query("blast_summary", sql("fwd", "SELECT count(*) AS hits, count(DISTINCT query) AS queries, count(DISTINCT subject) AS subjects, min(evalue) AS min_evalue, max(bits) AS max_bits, round(avg(identity), 6) AS mean_identity FROM fwd"))
@@ -266,6 +266,40 @@ def km_median(spark, d):
     return survival.medians(_cohort(spark, d))
 
 
+_RISK = _KM.replace("k AS (SELECT", "unused AS (SELECT") + """, u AS (SELECT DISTINCT t FROM n), w AS (SELECT u.t, g.g, coalesce(n.n, 0) AS c, coalesce(n.d, 0) AS d FROM u CROSS JOIN (SELECT DISTINCT g FROM n) g LEFT JOIN n ON n.t = u.t AND n.g = g.g),
+x AS (SELECT t, g, d, sum(c) OVER (PARTITION BY g ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nr FROM w), y AS (SELECT *, sum(d) OVER (PARTITION BY t) AS dt, sum(nr) OVER (PARTITION BY t) AS nt FROM x) """
+
+
+@query("log_rank_groups", _RISK + 'SELECT g AS "group", sum(d)::BIGINT AS observed, round(sum(dt * nr::DOUBLE / nt), 6) AS expected FROM y WHERE dt > 0 GROUP BY 1')
+def log_rank_groups(spark, d):
+    return survival.log_rank_groups(_cohort(spark, d)).withColumn("expected", F.round("expected", 6))
+
+
+def _two(spark, d):
+    return _cohort(spark, d).withColumn("group", F.when(F.col("group") == "BUILDING", "a").otherwise("b"))
+
+
+@query("log_rank_test", _RISK.replace("c_mktsegment AS g", "CASE WHEN c_mktsegment = 'BUILDING' THEN 'a' ELSE 'b' END AS g") + """SELECT round(sum(d - dt * nr::DOUBLE / nt) ** 2 / sum(dt * (nt - dt) / greatest(nt - 1, 1)::DOUBLE * (nr::DOUBLE / nt) * (1 - nr::DOUBLE / nt)), 6) AS chi2, 1::INTEGER AS df FROM y WHERE dt > 0 AND g = 'a'""")
+def log_rank_test(spark, d):
+    return survival.log_rank(_two(spark, d)).select(F.round("chi2", 6).alias("chi2"), "df")
+
+
+@query("cox_hazards")
+def cox_hazards(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_mktsegment") == "BUILDING").cast("double").alias("building"), (F.col("c_acctbal") / 1000).alias("balance"))
+    o = table(spark, d, "orders")
+    own = o.groupBy("o_custkey").agg(F.datediff(F.max("o_orderdate"), F.min("o_orderdate")).alias("time"), F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("last"))
+    return survival.cox(c.join(own, F.col("k") == F.col("o_custkey")).withColumn("event", F.col("last") == "F"), ["building", "balance"])
+
+
+@query("differential_wald")
+def differential_wald(spark, d):
+    """Brands whose quantities differ between suppliers' nations of even and odd keys."""
+    m = matrix(spark, d)
+    design = m.select("sample").distinct().withColumn("condition", F.when(F.col("sample").cast("int") % 2 == 0, "even").otherwise("odd"))
+    return differential.wald(m, design, "even")
+
+
 @query("structure_geometry", sql("atoms", """WITH p AS (SELECT chain, residue, x, y, z, row_number() OVER (PARTITION BY chain ORDER BY residue) AS k FROM atoms),
 q AS (SELECT a.chain, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS u, sqrt((c.x - b.x) ** 2 + (c.y - b.y) ** 2 + (c.z - b.z) ** 2) AS v, (a.x - b.x) * (c.x - b.x) + (a.y - b.y) * (c.y - b.y) + (a.z - b.z) * (c.z - b.z) AS dot
   FROM p a JOIN p b ON a.chain = b.chain AND a.k = 1 AND b.k = 2 JOIN p c ON c.chain = a.chain AND c.k = 3)
@@ -283,3 +317,16 @@ def structure_sequences(spark, d):
     p = table(spark, d, "part")
     name = F.element_at(F.array(*[F.lit(x) for x in ("ALA", "GLY", "TRP", "ZZZ")]), F.col("p_size") % 4 + 1)
     return structures.sequences(p.select(F.col("p_brand").alias("chain"), F.col("p_partkey").cast("string").alias("resseq"), F.lit("").alias("icode"), name.alias("resname"), F.col("p_partkey").alias("ord")))
+
+
+@query("structure_torsion", sql("atoms", """WITH p AS (SELECT chain, x, y, z, row_number() OVER (PARTITION BY chain ORDER BY residue) AS k FROM atoms),
+q AS (SELECT a.chain, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, c.x - b.x AS vx, c.y - b.y AS vy, c.z - b.z AS vz, d.x - c.x AS wx, d.y - c.y AS wy, d.z - c.z AS wz
+  FROM p a JOIN p b ON a.chain = b.chain AND a.k = 1 AND b.k = 2 JOIN p c ON c.chain = a.chain AND c.k = 3 JOIN p d ON d.chain = a.chain AND d.k = 4),
+n AS (SELECT *, uy * vz - uz * vy AS nx, uz * vx - ux * vz AS ny, ux * vy - uy * vx AS nz, vy * wz - vz * wy AS mx, vz * wx - vx * wz AS my, vx * wy - vy * wx AS mz FROM q)
+SELECT chain, round(degrees(atan2(((ny * mz - nz * my) * vx + (nz * mx - nx * mz) * vy + (nx * my - ny * mx) * vz) / sqrt(vx * vx + vy * vy + vz * vz), nx * mx + ny * my + nz * mz)), 4) AS torsion FROM n"""))
+def torsion(spark, d):
+    """Torsion of the first four residues of each chain."""
+    k = F.row_number().over(Window.partitionBy("chain").orderBy("residue"))
+    spot = lambda n: F.max(F.when(F.col("k") == n, F.struct("x", "y", "z"))).alias(f"p{n}")
+    first = atoms(spark, d).withColumn("k", k).where("k <= 4").groupBy("chain").agg(*[spot(n) for n in (1, 2, 3, 4)]).where("p4 IS NOT NULL")
+    return first.select("chain", F.round(structures.torsion_of("p1", "p2", "p3", "p4"), 4).alias("torsion"))
