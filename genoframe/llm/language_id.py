@@ -5,8 +5,8 @@ n-gram hashes to, and-ed, give all languages whose filter holds it. A text's
 popcounts per language, less what false positives are expected to add, decide.
 
 An n-gram is in a language's filter if its share of that language's n-grams is
-`share` or more (so a language has at most 1 / share of them, whatever the size of
-the corpus) and at least `relative` of its largest share in any language.
+`share` or more, so a language has at most 1 / share of them, whatever the size of
+the corpus. Of dirty labels the `MOST` with the most n-grams are learned.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; a text
 with letters but no known n-gram gets the first language in order with score 0; if
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CHUNK, mixed, remainder
@@ -27,7 +27,9 @@ from .common import CHUNK, mixed, remainder
 GRAM = 4
 #: Rows of the filter, a power of two, and hashes of each n-gram.
 ROWS, HASHES = 1 << 20, 3
-SHARE, RELATIVE = 2e-5, 0.2
+SHARE = 2e-5
+#: Languages that are learned at most.
+MOST = 1024
 #: Bytes other than letters count as blanks; those of other scripts stay.
 LETTERS = np.full(256, 32, np.uint8)
 LETTERS[97:123] = np.arange(97, 123)
@@ -102,13 +104,12 @@ def _count_grams(batches):
             yield pa.record_batch({"lang": pa.array([lang] * len(keys)), "gram": pa.array(keys.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
 
-def train(labelled: DataFrame, share: float = SHARE, relative: float = RELATIVE) -> dict:
+def train(labelled: DataFrame, share: float = SHARE, most: int = MOST) -> dict:
     """The filter from (lang, text) rows: names, table, and what false positives add per language."""
     counts = labelled.select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))  # a row for each language
-    counts = counts.join(totals, "lang").withColumn("p", F.col("n") / F.col("total")).where(F.col("p") >= share)
-    counts = counts.withColumn("top", F.max("p").over(Window.partitionBy("gram"))).where(F.col("p") >= relative * F.col("top"))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(most)
+    counts = counts.join(F.broadcast(totals), "lang").where(F.col("n") >= share * F.col("total"))  # `most` rows
     rows = counts.select("lang", "gram").toPandas()  # at most 1 / share for each language
     names = sorted(rows["lang"].unique())
     table = np.zeros((ROWS, max(1, -(-len(names) // 64))), np.uint64)
