@@ -2,13 +2,15 @@
 
 A text's terms are its words (A-Z lowered, runs of letters and non-ASCII bytes) and
 their first five, six and seven bytes, each present or not, hashed to `DIMENSIONS` slots.
-Counts of every slot over the training rows choose the `TERMS` slots that go with the
-label most; the machine has a weight and a vector for each, so that pairs of terms (an
-insult and a group) weigh more or less than their sum.
+Every slot is counted over all labelled training rows. `TERMS` slots become terms of the
+machine: half of them those that go with the label most by themselves, the others the
+most frequent of those in at most `COMMON` of the texts, since a term may matter only
+beside another (a group beside an insult). The machine has a weight and a vector for each
+term, so that pairs of terms weigh more or less than their sum.
 
 The machine is fitted on at most `SAMPLE` labelled training rows, those with the smallest
-hash of their id; that bound is the parameter `sample`. Their ids and labels alone are
-sent to all executors, so no text is shuffled.
+hash of their id; that bound is the parameter `sample`. Labels reach the texts by files in
+the shared folder, sorted by id, so no text is shuffled.
 
 Defined results: null, empty and wordless texts get the score of no terms; rows without
 a label are not learned from; labels other than 0 and 1 and null labels are not either;
@@ -24,11 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_hashes, remainder, span_hashes, text_chunks
+from .common import bucket_of, buckets_for, mixed, prefix_hashes, remainder, shared_dir, span_hashes, text_chunks
+from .shared_files import arrays_of, put_arrays
 
-DIMENSIONS, TERMS, FACTORS, SAMPLE = 1 << 20, 2048, 8, 20_000
-#: Standard deviations by which a term must go with the label, and texts it must be in.
-STRENGTH, TEXTS = 5, 5
+DIMENSIONS, TERMS, FACTORS, SAMPLE = 1 << 20, 8192, 8, 50_000
+#: Standard deviations by which a term must go with the label, texts it must be in, and the share of texts that a term is in at most if it doesn't.
+STRENGTH, TEXTS, COMMON = 3, 5, 0.2
+#: Rows of a step, and steps.
+TOGETHER, STEPS = 1024, 400
 PREFIXES = (5, 6, 7)
 INK = np.zeros(256, bool)
 INK[65:91] = INK[97:123] = True
@@ -64,16 +69,60 @@ def present(data, offsets, slot_to_term: np.ndarray | None = None) -> tuple[np.n
     return key // DIMENSIONS, key % DIMENSIONS
 
 
-def _slot_counts(batches):
+def put_labels(labels: DataFrame) -> tuple[str, int]:
+    """Writes (doc_id, label) rows to files by hash of the id: sorted ids, and how often each has label 0 and 1; (uri, files)."""
+    files, uri = buckets_for(labels), shared_dir(labels.sparkSession, "labels") + "/ids"
+    counts = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.sum(1 - F.col("label")).cast("long").alias("zero"), F.sum("label").cast("long").alias("one"))
+    rows = counts.mapInArrow(lambda b: _dealt(b, files), "bucket int, id long, zero long, one long")
+    none = labels.sparkSession.range(files).select(F.col("id").cast("int").alias("bucket"), *[F.lit(None).cast("long").alias(c) for c in ("id", "zero", "one")])
+
+    def run(key, table):
+        table = table.filter(table.column("id").is_valid()).sort_by("id")
+        put_arrays(f"{uri}-{key[0].as_py()}", **{c: table.column(c).to_numpy() for c in ("id", "zero", "one")})
+        return pa.table({"n": pa.array([table.num_rows], pa.int64())})
+
+    rows.union(none).groupBy("bucket").applyInArrow(run, "n long").agg(F.sum("n")).first()
+    return uri, files
+
+
+def _bucket(ids: np.ndarray, files: int) -> np.ndarray:
+    return bucket_of(mixed(ids.astype(np.int64).view(np.uint64)), files)
+
+
+def _dealt(batches, files: int):
+    for batch in batches:
+        bucket = _bucket(batch.column("id").to_numpy(zero_copy_only=False), files).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], ["bucket", *batch.schema.names])
+
+
+def labels_of(ids: pa.Array, uri: str, files: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each id has label 0 and 1; a null id has none."""
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    own = ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+    bucket, zero, one = _bucket(own, files), np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+    for b in np.unique(bucket[known]).tolist():
+        f, at = arrays_of(f"{uri}-{b}"), np.flatnonzero(known & (bucket == b))
+        if len(f["id"]):
+            place = np.minimum(np.searchsorted(f["id"], own[at]), len(f["id"]) - 1)
+            at, place = at[f["id"][place] == own[at]], place[f["id"][place] == own[at]]
+            zero[at], one[at] = f["zero"][place], f["one"][place]
+    return zero, one
+
+
+def _slot_counts(batches, uri: str, files: int):
     every, toxic = np.zeros(DIMENSIONS, np.int64), np.zeros(DIMENSIONS, np.int64)
     rows = np.zeros(2, np.int64)
     for batch in batches:
-        label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
+        zero, one = labels_of(batch.column("doc_id"), uri, files)
+        if not (zero + one).any():
+            continue
+        batch = batch.filter(pa.array(zero + one > 0))
+        zero, one = zero[zero + one > 0], one[zero + one > 0]
         for i, j, data, offsets in text_chunks(batch.column("text")):
             row, slot = present(data, offsets)
-            every += np.bincount(slot, minlength=DIMENSIONS)
-            toxic += np.bincount(slot[label[i:j][row] == 1], minlength=DIMENSIONS)
-        rows += [len(label), label.sum()]
+            every += np.bincount(slot, weights=(zero + one)[i:j][row], minlength=DIMENSIONS).astype(np.int64)
+            toxic += np.bincount(slot, weights=one[i:j][row], minlength=DIMENSIONS).astype(np.int64)
+        rows += [int((zero + one).sum()), int(one.sum())]
     if rows[0]:
         some = np.flatnonzero(every)
         slot, every, toxic = np.append(some, -1), np.append(every[some], rows[0]), np.append(toxic[some], rows[1])
@@ -89,41 +138,58 @@ def _terms_of(batches, slot_to_term):
         yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.int32()), pa.array(out, pa.list_(pa.int32()))], ["label", "terms"])
 
 
-def fit(rows: list, terms: int, factors: int = FACTORS, steps: int = 200, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> dict:
-    """Logistic loss on (label, terms) rows, all of them in each step, by Adam."""
+def fit(rows: list, terms: int, factors: int = FACTORS, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-4, seed: int = 5, together: int = TOGETHER) -> dict:
+    """Logistic loss on (label, terms) rows by Adam, `together` rows a step, in rounds over all rows in an order fixed by the seed."""
     y = np.array([r[0] for r in rows], float)
     sizes = np.array([len(r[1]) for r in rows])
-    term = np.concatenate([np.asarray(r[1], np.int64) for r in rows]) if sizes.sum() else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), sizes)
-    order = np.argsort(term, kind="stable")
-    by_term, first = np.unique(term[order], return_index=True)
-    row_first, has = np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes > 0
+    term = np.concatenate([np.asarray(r[1], np.int32) for r in rows]) if sizes.sum() else np.zeros(0, np.int32)
+    begins = np.concatenate(([0], np.cumsum(sizes)))
     rng = np.random.default_rng(seed)
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     p = {"b": np.array([np.log(share / (1 - share))]), "w": np.zeros(terms), "v": rng.normal(0, 0.05, (terms, factors))}
     m, s = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
+    step = 0
+    while step < steps:
+        order = rng.permutation(len(rows))
+        for part in np.array_split(order, -(-len(rows) // together)):
+            step += 1
+            grad = _gradient(p, y[part], [term[begins[i] : begins[i + 1]] for i in part])
+            grad["w"] += decay * p["w"] / terms
+            grad["v"] += decay * p["v"] / terms
+            slow = rate * (1 - 0.9 * step / max(steps, step))
+            for k in p:
+                m[k] = 0.9 * m[k] + 0.1 * grad[k]
+                s[k] = 0.999 * s[k] + 0.001 * grad[k] ** 2
+                p[k] = p[k] - slow * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
+            if step == steps:
+                break
+    return p
+
+
+def _gradient(p: dict, y: np.ndarray, terms: list) -> dict:
+    sizes = np.array([len(t) for t in terms])
+    term = np.concatenate(terms).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
+    has, row = sizes > 0, np.repeat(np.arange(len(y)), sizes)
+    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))[has]
 
     def per_row(x):
-        out = np.zeros((len(rows), *x.shape[1:]))
+        out = np.zeros((len(y), *x.shape[1:]))
         if len(x):
-            out[has] = np.add.reduceat(x, row_first[has])
+            out[has] = np.add.reduceat(x, first)
         return out
 
-    for step in range(1, steps + 1):
-        v = p["v"][term]
-        q = per_row(v)
-        out = p["b"] + per_row(p["w"][term]) + 0.5 * (q**2 - per_row(v**2)).sum(1)
-        g = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y) / len(y)
-        grad = {"b": np.array([g.sum()]), "w": decay * p["w"] / terms, "v": decay * p["v"] / terms}
-        if len(term):
-            gt = g[row]
-            grad["w"][by_term] += np.add.reduceat(gt[order], first)
-            grad["v"][by_term] += np.add.reduceat((gt[:, None] * (q[row] - v))[order], first)
-        for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * grad[k]
-            s[k] = 0.999 * s[k] + 0.001 * grad[k] ** 2
-            p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
-    return p
+    v = p["v"][term]
+    q = per_row(v)
+    out = p["b"] + per_row(p["w"][term]) + 0.5 * (q**2 - per_row(v**2)).sum(1)
+    g = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y) / len(y)
+    grad = {"b": np.array([g.sum()]), "w": np.zeros_like(p["w"]), "v": np.zeros_like(p["v"])}
+    if len(term):
+        order = np.argsort(term, kind="stable")
+        by, start = np.unique(term[order], return_index=True)
+        gt = g[row]
+        grad["w"][by] = np.add.reduceat(gt[order], start)
+        grad["v"][by] = np.add.reduceat((gt[:, None] * (q[row] - v))[order], start)
+    return grad
 
 
 def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -132,21 +198,31 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
     return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "label")
 
 
-def train(labelled: DataFrame) -> dict:
-    """The model from (text, label) rows, of which there are no more than a sample."""
-    counts = labelled.select("text", "label").mapInArrow(_slot_counts, "slot long, n long, toxic long")
+def chosen(slot: np.ndarray, n: np.ndarray, toxic: np.ndarray, whole: int, positive: int, terms: int = TERMS) -> np.ndarray:
+    """The slots that become terms: half by strength alone, the others by frequency."""
+    share = positive / whole
+    z = np.abs(toxic - share * n) / np.sqrt(share * (1 - share) * n)
+    strong = np.flatnonzero((n >= TEXTS) & (z > STRENGTH))
+    strong = strong[np.lexsort((slot[strong], -z[strong]))][: terms // 2]
+    rest = np.setdiff1d(np.flatnonzero((n >= TEXTS) & (n <= COMMON * whole)), strong)
+    rest = rest[np.lexsort((slot[rest], -n[rest]))][: terms - len(strong)]
+    return slot[np.concatenate([strong, rest])]
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
+    """The model from (doc_id, text) documents and (doc_id, label) rows of those to learn from."""
+    uri, files = put_labels(labels)
+    counts = docs.select("doc_id", "text").mapInArrow(lambda b: _slot_counts(b, uri, files), "slot long, n long, toxic long")
     counts = counts.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toPandas()  # at most DIMENSIONS rows
     whole = counts[counts["slot"] < 0]
     slot_to_term = np.full(DIMENSIONS, -1, np.int64)
     if not len(whole) or not 0 < whole["toxic"].iloc[0] < whole["n"].iloc[0]:
         return {"slots": slot_to_term, "b": np.zeros(1), "w": np.zeros(1), "v": np.zeros((1, FACTORS))}
-    share = whole["toxic"].iloc[0] / whole["n"].iloc[0]
-    own = counts[(counts["slot"] >= 0) & (counts["n"] >= TEXTS)]
-    z = ((own["toxic"] - share * own["n"]) / np.sqrt(share * (1 - share) * own["n"])).abs()
-    own = own.assign(z=z)[z > STRENGTH].sort_values(["z", "slot"], ascending=[False, True]).head(TERMS)
-    slot_to_term[own["slot"].to_numpy()] = np.arange(len(own))
-    rows = labelled.mapInArrow(lambda b: _terms_of(b, slot_to_term), "label int, terms array<int>").toPandas()  # at most `sample` rows
-    model = fit(list(zip(rows["label"], rows["terms"])), max(1, len(own)))
+    own = counts[counts["slot"] >= 0]
+    slots_ = chosen(own["slot"].to_numpy(), own["n"].to_numpy().astype(float), own["toxic"].to_numpy(), int(whole["n"].iloc[0]), int(whole["toxic"].iloc[0]))
+    slot_to_term[slots_] = np.arange(len(slots_))
+    rows = sampled(docs, labels, sample).mapInArrow(lambda b: _terms_of(b, slot_to_term), "label int, terms array<int>").toPandas()  # at most `sample` rows
+    model = fit(list(zip(rows["label"], rows["terms"])), max(1, len(slots_)))
     return model | {"slots": slot_to_term}
 
 
@@ -179,5 +255,5 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label")).where("label in (0, 1)")
     held_out = remainder(F.col("doc_id"), 5) == 0
-    model = train(sampled(docs, labels.where(~held_out)))
+    model = train(docs, labels.where(~held_out))
     return scored(docs.withColumn("held_out", held_out).select("doc_id", "held_out", "text"), model)
