@@ -30,10 +30,10 @@ TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid|sessionid)"
 
 
 def canonical(url: Column) -> Column:
-    """Scheme, www/m host prefixes, default ports, fragment, tracking parameters and trailing slashes go; host lowered; parameters sorted."""
+    """Scheme, a www host prefix, default ports, fragment, tracking parameters, an index page's name and trailing slashes go; host lowered; parameters sorted."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(url), r"#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(bare, r"^([^/?]*)", 1)), r":(?:80|443)$", ""), r"^(?:www|m)\.", "")
-    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*([^?]*)", 1), r"(?:/index)?\.html?$", ""), r"/+$", "")
+    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(bare, r"^([^/?]*)", 1)), r":(?:80|443)$", ""), r"^www\.", "")
+    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*([^?]*)", 1), r"/index\.html?$", ""), r"/+$", "")
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(rf"^{TRACKING}(?:=|$)")))
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
@@ -103,8 +103,8 @@ OP6_SQL = r"""
 WITH b AS (SELECT page_id, md5(coalesce(html, '')) AS etag, length(coalesce(html, '')) AS size,
        regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
 c AS (SELECT page_id, etag, size,
-       regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), ':(?:80|443)$', ''), '^(?:www|m)\.', '') AS host,
-       regexp_replace(regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '(?:/index)?\.html?$', ''), '/+$', '') AS path,
+       regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), ':(?:80|443)$', ''), '^www\.', '') AS host,
+       regexp_replace(regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/index\.html?$', ''), '/+$', '') AS path,
        list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
          lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_[a-z]+|ref|fbclid|gclid|sessionid)(?:=|$)'))) AS kept FROM b),
 u AS (SELECT page_id, etag, size, host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical_url FROM c),

@@ -125,3 +125,12 @@ def test_latest_earlier_response(spark):
     for ranges in (1, 4096):
         got = {r.record_id: r.origin_id for r in revisits.resolved(spark.createDataFrame(rows, RECORD), ranges).collect()}
         assert got == {3: 2, 4: None, 6: 2}
+
+
+def test_canonical_urls(spark):
+    """Spellings of one resource meet; other resources stay apart."""
+    same = ["http://A.com/x/", "https://www.a.com:443/x", "a.com/x/index.html#top", "http://a.com/x?utm_source=q&ref=1"]
+    other = ["http://m.a.com/x", "http://a.com/x.html", "http://a.com/x?id=1", "http://a.com/X"]
+    df = spark.createDataFrame([(u,) for u in same + other], "u string")
+    got = [r[0] for r in df.select(revisits.canonical(df.u)).collect()]
+    assert set(got[:4]) == {"a.com/x"} and len(set(got)) == 5
