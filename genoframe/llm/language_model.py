@@ -44,9 +44,9 @@ from .shared_files import arrays_of, put_arrays
 
 LEAST, DISCOUNT, ADD = 1, 0.75, 0.1
 #: Bytes of training input (as files hold them) for each file of the trie.
-FILE_INPUT = 24 << 20
+FILE_INPUT = 12 << 20
 #: Tokens that a task counts together, and bytes of text that are scored together.
-HELD_TOKENS, SCORED_BYTES = 3_000_000, 8 << 20
+HELD_TOKENS, SCORED_BYTES = 2_000_000, 4 << 20
 #: Stands for the end of a text.
 END = np.uint64(0x3A7C15F39CC0605D)
 
@@ -232,27 +232,27 @@ def _totals(key: np.ndarray, third: np.ndarray, count: np.ndarray) -> tuple[np.n
     """Distinct (key, third) in order, with the sums of their counts."""
     order = np.lexsort((third, key))
     key, third, count = key[order], third[order], count[order]
+    del order
     new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (third[1:] != third[:-1])))) if len(key) else np.zeros(0, np.int64)
-    return key[new], third[new], np.add.reduceat(count, new) if len(new) else count
+    return key[new], third[new], np.add.reduceat(count, new, dtype=np.int64) if len(new) else count.astype(np.int64)
 
 
 def _count_triples(batches, trie: Trie):
     """Counts of (first * wide + second, third) by file; the third of the last two tokens of a text is trie.size."""
-    held, n = [], 0
+    held, n, kind = [], 0, np.uint32 if trie.size < 2**32 - 1 else np.uint64
 
     def sent():
         key, third, count = _totals(*(np.concatenate([x[k] for x in held]) for k in range(3)))
-        kind = np.uint32 if trie.size < 2**32 - 1 else np.uint64
-        rows = [(b, pack(key[own], third[own].astype(kind), count[own].astype(np.uint32))) for b, own in _runs(np.searchsorted(trie.ranges, key, "right") - 1)]
+        rows = [(b, pack(key[own], third[own], count[own].astype(np.uint32))) for b, own in _runs(np.searchsorted(trie.ranges, key, "right") - 1)]
         return pa.record_batch({"bucket": pa.array([r[0] for r in rows], pa.int32()), "packed": pa.array([r[1] for r in rows], pa.binary())})
 
     for batch in batches:
         for _, _, data, offsets in text_chunks(batch.column("text")):
             ids, _, rows = _ids(trie, data, offsets)
             at = np.flatnonzero(rows[1:] == rows[:-1])
-            third = np.concatenate((ids[2:], [trie.size]))
+            third = np.concatenate((ids[2:], [trie.size])).astype(kind)
             third[:-1][rows[2:] != rows[1:-1]] = trie.size
-            held.append((ids[at].astype(np.uint64) * trie.wide + ids[at + 1].astype(np.uint64), third[at], np.ones(len(at), np.int64)))
+            held.append((ids[at].astype(np.uint64) * trie.wide + ids[at + 1].astype(np.uint64), third[at], np.ones(len(at), np.uint32)))
             n += len(at)
             if n >= HELD_TOKENS:
                 yield sent()
@@ -330,8 +330,8 @@ def train(texts: DataFrame, least: int = LEAST, file_input: int = FILE_INPUT) ->
 
     def put_range(key, table):
         b = key[0].as_py()
-        parts = [unpack(x) for x in table.column("packed").to_pylist()]
-        merged = _totals(*(np.concatenate([p[k].astype(kind) for p in parts]) for k, kind in enumerate((np.uint64, np.uint64, np.int64))))
+        parts = [unpack(x.as_py()) for x in table.column("packed")]
+        merged = _totals(*(np.concatenate([p.pop(0) for p in parts]) for _ in range(3)))
         rows = put_ngrams(trie, b, *merged, several, least)
         return pa.table({"bucket": pa.array([b] * len(rows), pa.int32()), "word": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64())})
 
