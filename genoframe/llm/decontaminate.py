@@ -222,6 +222,22 @@ def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     return verdicts(hits(docs, benchmark))
 
 
+#: Windows as joined words, in DuckDB's SQL.
+OP8_SQL = r"""
+WITH b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+iw AS (SELECT DISTINCT coalesce(item_id::VARCHAR, '') AS item, n, array_to_string(words[k:k + n - 1], ' ') AS w
+       FROM (SELECT item_id, words, least(13, len(words)) AS n, unnest(range(1, len(words) - least(13, len(words)) + 2)) AS k FROM b WHERE len(words) > 0)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+dw AS (SELECT r, n, k, array_to_string(words[k:k + n - 1], ' ') AS w FROM (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw) WHERE len(words) >= n)),
+m AS (SELECT DISTINCT r, dw.n, k, item FROM dw JOIN iw ON dw.n = iw.n AND dw.w = iw.w),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM m) GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN i ON d.r = i.r
+"""
+
+
 def plain(doc: str | None, items: dict, window: int = WINDOW) -> tuple:
     """Brute force, for tests: (n_words, n_hit, item ids, contaminated)."""
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

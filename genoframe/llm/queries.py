@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontaminate import op8_decontamination
+from .decontaminate import OP8_SQL, op8_decontamination
 from .language_id import op5_language_id
 from .language_model import op4_language_model
 from .mixing import OP2_SQL, op2_mixing
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op2_mixing": OP2_SQL, "op6_revisits": OP6_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op2_mixing": OP2_SQL, "op6_revisits": OP6_SQL, "op8_decontamination": OP8_SQL}
