@@ -31,9 +31,9 @@ import numpy as np
 from .shared_files import scratch_folder
 
 #: Entries (8 bytes or less) that an array or the queue may hold in memory.
-IN_MEMORY = 1 << 20
+IN_MEMORY = 1 << 21
 #: Times IN_MEMORY: names that are sorted in memory.
-SMALL = 2
+SMALL = 1
 
 
 def scratch(n: int, kind, limit: int) -> np.ndarray:
@@ -259,18 +259,27 @@ def induced_names(t: np.ndarray, s: np.ndarray, lms: np.ndarray, starts: np.ndar
 
 
 def common_prefixes(t: np.ndarray, order: np.ndarray, depth: int, limit: int) -> np.ndarray:
-    """Of each suffix with the one before it in order, up to depth; 0 for the first."""
-    n, out = len(t), scratch(len(order), np.int16, limit)
-    for i, j in blocks(1, len(order), max(1, limit // 8)):
+    """Of each suffix with the one before it in order, up to depth; 0 for the first. t is a string of 16-bit characters, its last one there once."""
+    n, out, size = len(t), scratch(len(order), np.int16, limit), max(1, limit // 8)
+    look = scratch(n, np.uint64, limit)  # four characters from each place on
+    for i, j in blocks(0, n, size):
+        part = np.zeros(j - i + 3, np.uint64)
+        part[: min(n, j + 3) - i] = t[i : j + 3]
+        for k in range(4):
+            look[i:j] |= part[k : k + j - i] << np.uint64(16 * k)
+    for i, j in blocks(1, len(order), size):
         a, b = np.asarray(order[i - 1 : j - 1]).astype(np.int64), np.asarray(order[i:j]).astype(np.int64)
         value, at = np.zeros(j - i, np.int16), np.arange(j - i)
-        for d in range(depth):
-            same = (np.maximum(a, b) + d < n) & (t[np.minimum(a + d, n - 1)] == t[np.minimum(b + d, n - 1)])
+        for d in range(0, depth, 4):
+            x = np.where(np.maximum(a, b) + d < n, look[np.minimum(a + d, n - 1)] ^ look[np.minimum(b + d, n - 1)], np.uint64(1))
+            same, more = x == 0, np.zeros(len(x), np.int16)
+            for k in range(1, 4):
+                more += (x << np.uint64(64 - 16 * k)) == 0
+            value[at] = d + np.where(same, 4, more)
             a, b, at = a[same], b[same], at[same]
-            value[at] = d + 1
             if not len(at):
                 break
-        out[i:j] = value
+        out[i:j] = np.minimum(value, depth)
     return out
 
 

@@ -43,24 +43,31 @@ from .shared_files import member, put, scratch_folder
 
 LENGTH, SEED_BYTES = 100, 24
 #: Bytes of pieces that one shard is planned for, and that a task gathers before it sends them.
-SHARD_BYTES, HELD_BYTES = 8 << 20, 24 << 20
+SHARD_BYTES, HELD_BYTES = 4 << 20, 24 << 20
 #: Sorts before every doc_id.
 NO_ID = -(2**63)
 
 
+#: Low bits of a hash that do not count when minimizers are compared, at any length of the array.
+IGNORED = 24
+
+
 def least_places(h: np.ndarray, w: int) -> np.ndarray:
-    """The place of the least of each w consecutive hashes, the leftmost of equal ones.
+    """The place of the least of each w consecutive hashes by their upper bits, the leftmost of equal ones.
 
-    Whole hashes are compared, so equal windows have their minimizers at equal places
-    whatever else is in the array.
+    How many bits count is fixed, so equal windows have their minimizers at equal places
+    whatever else is in the array. Shorter arrays keep the place in the other bits.
     """
-    out, have = np.arange(len(h)), 1
+    bits, have = np.uint64(IGNORED), 1
+    short = len(h) <= 1 << IGNORED
+    key = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64) if short else h >> bits
+    out = key if short else np.arange(len(h))
     while have < w:
         step = min(have, w - have)
         left, right = out[: len(out) - step], out[step:]
-        out = np.where(h[right] < h[left], right, left)
+        out = np.minimum(left, right) if short else np.where(key[right] < key[left], right, left)
         have += step
-    return out
+    return (out & np.uint64((1 << IGNORED) - 1)).astype(np.int64) if short else out
 
 
 def pieces_of(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
@@ -255,10 +262,13 @@ class Shard:
         n = int(sizes.sum()) + len(sizes) + 1
         raw = np.memmap(self.file, np.uint8, "r", shape=(self.end,)) if self.end else np.zeros(0, np.uint8)
         text = scratch(n, np.uint16, self.limit)
-        for at, size, start in zip(begins.tolist(), sizes.tolist(), places[:, 4].tolist()):
-            text[at : at + size] = raw[start : start + size]
-            text[at : at + size] += 2
-            text[at + size] = 1
+        at = 0
+        cuts = np.flatnonzero(np.diff(begins // max(1, self.limit))) + 1  # pieces of about limit bytes together
+        for own in np.split(places[:, 3:], cuts):
+            block = np.frombuffer(b"".join(raw[i : i + size].tobytes() + b"\0" for size, i in own.tolist()), np.uint8).astype(np.uint16) + np.uint16(2)
+            block[np.cumsum(own[:, 0] + 1) - 1] = 1
+            text[at : at + len(block)] = block
+            at += len(block)
         starts = covered_starts(text, begins, sizes, self.length, self.limit)
         yield from _spans(starts, places, begins, self.length, self.limit)
 
@@ -294,12 +304,9 @@ def _spans(starts: np.ndarray, places: np.ndarray, begins: np.ndarray, length: i
         ahead = np.cumsum(np.concatenate(([0], starts[low:j])), dtype=np.int64)
         at = np.arange(i, j) - low + 1
         inside = np.diff(np.concatenate(([0], (ahead[at] > ahead[np.maximum(at - length, 0)]).astype(np.int8), [0])))
-        out = []
-        for a, b in zip((np.flatnonzero(inside == 1) + i).tolist(), (np.flatnonzero(inside == -1) + i).tolist()):
-            k = int(np.searchsorted(begins, a, "right")) - 1
-            doc, rid, start = places[k, :3].tolist()
-            out.append((doc, rid, start + a - int(begins[k]), b - a))
-        yield out
+        a, b = np.flatnonzero(inside == 1) + i, np.flatnonzero(inside == -1) + i
+        k = np.searchsorted(begins, a, "right") - 1
+        yield list(zip(places[k, 0].tolist(), places[k, 1].tolist(), (places[k, 2] + a - begins[k]).tolist(), (b - a).tolist()))
 
 
 def covered_in_shard(contents: list[bytes], places: list[tuple], length: int, limit: int = IN_MEMORY) -> list[tuple]:

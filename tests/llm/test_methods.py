@@ -164,8 +164,10 @@ def test_one_shard_of_ten_times_its_memory(spark, tmp_path):
 def test_minimizers_do_not_depend_on_the_chunk():
     """Ties and all: the first window of a text has one minimizer, whatever comes after."""
     rng = np.random.default_rng(12)
-    h = rng.integers(0, 3, 5000).astype(np.uint64)
+    h = rng.integers(0, 3, 5000).astype(np.uint64) << np.uint64(40)
     assert (suffix_dedup.least_places(h, 77)[:100] == suffix_dedup.least_places(h[:400], 77)[:100]).all()
+    long = np.concatenate([h, np.zeros((1 << suffix_dedup.IGNORED) - 4000, np.uint64)])
+    assert (suffix_dedup.least_places(long, 77)[:4900] == suffix_dedup.least_places(h, 77)[:4900]).all()
     assert suffix_dedup.least_places(h, 77).tolist() == [i + int(h[i : i + 77].argmin()) for i in range(len(h) - 76)]
 
 
