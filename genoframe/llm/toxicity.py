@@ -134,8 +134,8 @@ def _terms_of(batches, slot_to_term):
         out = []
         for i, j, data, offsets in text_chunks(batch.column("text")):
             row, term = present(data, offsets, slot_to_term)
-            out += [x.astype(np.int32) for x in np.split(term, np.searchsorted(row, np.arange(1, j - i)))]
-        yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.int32()), pa.array(out, pa.list_(pa.int32()))], ["label", "terms"])
+            out += [x.astype(np.int16) for x in np.split(term, np.searchsorted(row, np.arange(1, j - i)))]
+        yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.int32()), pa.array(out, pa.list_(pa.int16()))], ["label", "terms"])
 
 
 def fit(rows: list, terms: int, factors: int = FACTORS, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-4, seed: int = 5, together: int = TOGETHER) -> dict:
@@ -213,16 +213,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """The model from (doc_id, text) documents and (doc_id, label) rows of those to learn from."""
     uri, files = put_labels(labels)
     counts = docs.select("doc_id", "text").mapInArrow(lambda b: _slot_counts(b, uri, files), "slot long, n long, toxic long")
-    counts = counts.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toPandas()  # at most DIMENSIONS rows
-    whole = counts[counts["slot"] < 0]
+    counts = counts.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()  # at most DIMENSIONS rows, as arrays: Python objects would take many times their bytes
+    slot, n, toxic = (counts.column(c).to_numpy() for c in ("slot", "n", "toxic"))
+    whole = slot < 0
     slot_to_term = np.full(DIMENSIONS, -1, np.int64)
-    if not len(whole) or not 0 < whole["toxic"].iloc[0] < whole["n"].iloc[0]:
+    if not whole.any() or not 0 < toxic[whole][0] < n[whole][0]:
         return {"slots": slot_to_term, "b": np.zeros(1), "w": np.zeros(1), "v": np.zeros((1, FACTORS))}
-    own = counts[counts["slot"] >= 0]
-    slots_ = chosen(own["slot"].to_numpy(), own["n"].to_numpy().astype(float), own["toxic"].to_numpy(), int(whole["n"].iloc[0]), int(whole["toxic"].iloc[0]))
+    slots_ = chosen(slot[~whole], n[~whole].astype(float), toxic[~whole], int(n[whole][0]), int(toxic[whole][0]))
+    del counts, slot, n, toxic
     slot_to_term[slots_] = np.arange(len(slots_))
-    rows = sampled(docs, labels, sample).mapInArrow(lambda b: _terms_of(b, slot_to_term), "label int, terms array<int>").toPandas()  # at most `sample` rows
-    model = fit(list(zip(rows["label"], rows["terms"])), max(1, len(slots_)))
+    rows = sampled(docs, labels, sample).mapInArrow(lambda b: _terms_of(b, slot_to_term), "label int, terms array<smallint>").toArrow()  # at most `sample` rows
+    rows = [(y, t.values.to_numpy()) for y, t in zip(rows.column("label").to_pylist(), rows.column("terms"))]
+    model = fit(rows, max(1, len(slots_)))
     return model | {"slots": slot_to_term}
 
 

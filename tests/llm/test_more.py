@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -134,3 +135,18 @@ def test_canonical_urls(spark):
     df = spark.createDataFrame([(u,) for u in same + other], "u string")
     got = [r[0] for r in df.select(revisits.canonical(df.u)).collect()]
     assert set(got[:4]) == {"a.com/x"} and len(set(got)) == 5
+
+
+def test_toxicity_terms_reach_the_driver_as_arrays(spark, monkeypatch):
+    """A term of a sampled row takes a few bytes of the driver's memory, not those of a Python number in a list."""
+    rng = np.random.default_rng(3)
+    words_ = np.array(["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(3000)])
+    rows = [(i, " ".join(rng.choice(words_, 200)), i % 2) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    fit, held = toxicity.fit, []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, terms: held.append((len(rows), sum(len(t) for _, t in rows), tracemalloc.get_traced_memory()[0])) or fit(rows, terms, steps=1))
+    tracemalloc.start()
+    toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "label"))
+    tracemalloc.stop()
+    n, terms, size = held[0]
+    assert n == 2000 and terms > 300_000 and size < 8 * toxicity.DIMENSIONS + 8 * terms
