@@ -22,12 +22,14 @@ def place(spark, name: str) -> str:
     return f"{top.rstrip('/')}/formats/{uuid.uuid4().hex[:12]}-{name}"
 
 
-def _lines(spark, name: str, body, head: tuple = ()) -> str:
-    """Writes a column of lines, a head before them as the first file."""
+def _lines(spark, name: str, body, head: tuple = (), tail: tuple = ()) -> str:
+    """Writes a column of lines, a head before them as the first file, a tail as the last."""
     path = place(spark, name)
     body = body.toDF("value")
     if head:
         body = spark.createDataFrame([("\n".join(head),)], "value string").coalesce(1).union(body)
+    if tail:
+        body = body.union(spark.createDataFrame([("\n".join(tail),)], "value string").coalesce(1))
     records.write_lines(body, path)
     return path
 
@@ -175,7 +177,7 @@ def blast_xml(spark, d):
     hit = tag("Hit", F.concat(tag("Hit_id", F.col("subject")), tag("Hit_hsps", hsp)))
     rows = hits(spark, d).groupBy("query", F.pmod(F.xxhash64("subject"), F.lit(16))).agg(F.array_join(F.collect_list(hit), "").alias("h"))  # a sixteenth of a query's hits
     rows = rows.select(tag("Iteration", F.concat(tag("Iteration_query-def", F.concat(F.col("query"), F.lit(" made"))), tag("Iteration_hits", F.col("h")))))
-    return tables.blast_xml(spark, _one_file(spark, "a.xml", rows, "<BlastOutput>", "</BlastOutput>")).select("query", "subject", "identity", "length", "evalue", "bits")
+    return tables.blast_xml(spark, _lines(spark, "a.xml", rows, ("<BlastOutput>",), ("</BlastOutput>",))).select("query", "subject", "identity", "length", "evalue", "bits")
 
 
 _DOMAINS = """SELECT 'p' || p_partkey AS sequence, {0} AS source, p_brand AS accession, p_size::BIGINT AS "start", (p_size + 9)::BIGINT AS "end", p_size / 8.0::DOUBLE AS score FROM part"""

@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from genoframe.functions.statistics import bh_adjusted
-from genoframe.operators import enrichment, intervals, prefix
+from genoframe.operators import enrichment, intervals, phylogeny, prefix
+from genoframe.sources import tables
 
 
 def rows_of(df):
@@ -51,3 +52,47 @@ def test_bins_ascend_with_values(spark):
     x = [s * m * 2.0**e for s in (1, -1) for e in range(-1074, 1020, 7) for m in (1.0, 1 + 2**-52, 2 - 2**-52, rng.uniform(1, 2))] + [0.0, -0.0]
     got = [r.b for r in spark.createDataFrame([(v,) for v in sorted(x)], "v double").coalesce(1).select(prefix.value_bin(F.col("v")).alias("b")).collect()]
     assert got == sorted(got)
+
+
+def _plain_kinds(x, y):
+    n = max(len(x), len(y))
+    cols = [(p, q) for p, q in zip(x.ljust(n, "-"), y.ljust(n, "-")) if (p, q) != ("-", "-")]
+    ts = sum(p + q in ("AG", "GA", "CT", "TC") for p, q in cols)
+    differ = sum(p != q for p, q in cols)
+    return len(cols), differ, ts, sum(p != q and "-" not in (p, q) for p, q in cols) - ts
+
+
+def test_packed_pairs_against_plain_columns():
+    """Gaps, other letters, empty and missing sequences, ends in and at the end of a word."""
+    rng = random.Random(3)
+    for letters in ("ACGTN", "ACGTN-", "ACGTN-RYKMéz."):
+        make = lambda: ["".join(rng.choice(letters) for _ in range(rng.choice((0, 1, 5, 63, 64, 65, 128, 200)))) for _ in range(20)] + [None]
+        a, b = make(), make()
+        q, d = phylogeny._packed(list(range(21)), a, phylogeny.QUERY), phylogeny._packed(list(range(21)), b, phylogeny.OTHER)
+        got = list(zip(*[v.tolist() for v in phylogeny._pairs(q, d, True)]))
+        utf = lambda s: s.encode().decode("latin-1")
+        want = [(0, 0, 0, 0) if None in (a[i], b[j]) else _plain_kinds(utf(a[i]), utf(b[j])) for i in q["ids"] for j in d["ids"]]
+        assert got == want
+
+
+def test_distances_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(phylogeny, "BESIDE", 7)
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("ACGTN") for _ in range(rng.randrange(150)))) for i in range(40)]
+    frame = spark.createDataFrame(rows, "id long, seq string")
+    got = {(r.a, r.b): r.distance for r in phylogeny.distances(frame, "p-distance", frame.where("id % 5 = 0"), 3).collect()}
+    plain = {(i, j): _plain_kinds(x, y) for i, x in rows if i % 5 == 0 for j, y in rows}
+    assert got == {k: v[1] / v[0] if v[0] else 0.0 for k, v in plain.items()}
+
+
+def test_xml_reports_split(spark, tmp_path):
+    """A report in several parts; each is read by itself, split at iterations."""
+    one = lambda k: f"<Iteration>\n<Iteration_query-def>q{k} &amp; x</Iteration_query-def><Iteration_hits><Hit><Hit_id>s{k}</Hit_id><Hit_hsps><Hsp><Hsp_bit-score>90</Hsp_bit-score><Hsp_evalue>1e-9</Hsp_evalue><Hsp_identity>45</Hsp_identity><Hsp_align-len>50</Hsp_align-len></Hsp></Hit_hsps></Hit></Iteration_hits>\n</Iteration>\n"
+    (tmp_path / "a.xml").write_text("<?xml version='1.0'?>\n<BlastOutput>\n" + "".join(one(k) for k in range(400)) + "</BlastOutput>\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = tables.blast_xml(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 10
+        assert sorted(r["query"] + r.subject for r in rows.collect()) == sorted(f"q{k}s{k}" for k in range(400))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
